@@ -10,6 +10,35 @@ from curaspark.scale import asof, chase_parents, row_index
 from curaspark.session import checkpoint
 
 
+class _Neighbours:
+    """Items of a pair set in id order (idx, id, cls) with lookups of their nearest similar items."""
+
+    def __init__(self, pairs: PairSet):
+        sizes = pairs.classes.select(F.col("cls").alias("d"), (F.col("n") > 1).alias("many"))
+        self.adjacency = checkpoint(pairs.adjacency().join(sizes, "d"))
+        linked = self.adjacency.select("cls").distinct()
+        self.items = row_index(pairs.members.join(linked, "cls", "left_semi"), [F.col("id")], "idx")
+        self.span = self.items.count()
+        self.copies = not self.adjacency.filter("many").isEmpty()
+
+    def around(self, some: DataFrame) -> DataFrame:
+        """One query row per (item, similar class): (key, pos, score, many)."""
+        return some.join(self.adjacency, "cls").select(
+            F.col("d").alias("key"), F.col("idx").alias("pos"), "score", "many"
+        )
+
+    def nearest(self, queries: DataFrame, forward: bool = False) -> DataFrame:
+        """Nearest member of class ``key`` below (above) ``pos``; classes of one item need no search."""
+        single = self.items.select(F.col("cls").alias("key"), F.col("idx").alias("hit"))
+        side = F.col("hit") > F.col("pos") if forward else F.col("hit") < F.col("pos")
+        found = queries.filter(~F.col("many")).join(single, "key").filter(side).select("pos", "score", "hit")
+        if not self.copies:
+            return found
+        data = self.items.select(F.col("cls").alias("key"), F.col("idx").alias("pos"))
+        searched = asof(data, queries.filter("many").drop("many"), "key", "pos", self.span, forward)
+        return found.unionByName(searched.filter(F.col("hit").isNotNull()).select("pos", "score", "hit"))
+
+
 def greedy_groups(pairs: PairSet) -> DataFrame:
     """Greedy grouping of a pair stream in (i, j) order, without a regroup rule: (id, group_id, score).
 
@@ -22,32 +51,8 @@ def greedy_groups(pairs: PairSet) -> DataFrame:
     Neighbours are looked up per (item, similar class) with a distributed as-of lookup, so copies
     are never paired with each other.
     """
-    adjacency = checkpoint(
-        pairs.adjacency().join(
-            pairs.classes.select(F.col("cls").alias("d"), (F.col("n") > 1).alias("many")), "d"
-        )
-    )
-    linked = adjacency.select("cls").distinct()
-    items = row_index(pairs.members.join(linked, "cls", "left_semi"), [F.col("id")], "idx")
-    span = items.count()
-    copies = not adjacency.filter("many").isEmpty()
-
-    def neighbour(queries: DataFrame, forward: bool = False) -> DataFrame:
-        """Nearest member of class ``key`` below (above) ``pos``; classes of one item need no search."""
-        single = items.select(F.col("cls").alias("key"), F.col("idx").alias("hit"))
-        side = F.col("hit") > F.col("pos") if forward else F.col("hit") < F.col("pos")
-        found = queries.filter(~F.col("many")).join(single, "key").filter(side).select("pos", "score", "hit")
-        if not copies:
-            return found
-        data = items.select(F.col("cls").alias("key"), F.col("idx").alias("pos"))
-        searched = asof(data, queries.filter("many").drop("many"), "key", "pos", span, forward)
-        return found.unionByName(searched.filter(F.col("hit").isNotNull()).select("pos", "score", "hit"))
-
-    def around(some: DataFrame) -> DataFrame:
-        return some.join(adjacency, "cls").select(
-            F.col("d").alias("key"), F.col("idx").alias("pos"), "score", "many"
-        )
-
+    graph = _Neighbours(pairs)
+    items, neighbour, around = graph.items, graph.nearest, graph.around
     below = checkpoint(neighbour(around(items.select("idx", "cls"))))
     lower = below.groupBy("pos").agg(F.max("hit").alias("parent"))
     first = items.join(lower, items["idx"] == lower["pos"], "left_anti").select("idx", "cls")
@@ -101,6 +106,247 @@ def greedy_groups(pairs: PairSet) -> DataFrame:
     )
 
 
+def _records(rows: DataFrame, key: str, pos: str, start: str, cutoff: float, lower: bool) -> DataFrame:
+    """Rows (key, pos, score) that improve on the running score of their key by more than ``cutoff``.
+
+    The running score begins at ``start`` and takes the score of every row found. With a cutoff the
+    scan is repeated from the last row found; every repeat improves the score by the cutoff, so
+    repeats are few. Without one, the rows are those better than everything before them.
+    """
+    sign = -1.0 if lower else 1.0
+    rows = rows.withColumn("_s", F.col("score") * sign).withColumn("_b", F.col(start) * sign)
+    if cutoff == 0:
+        from curaspark.scale import RANGES
+
+        top = rows.agg(F.max(pos)).first()[0] or 0
+        width = max(1, -(-(top + 1) // RANGES))
+        ranged = rows.withColumn("_rng", F.floor(F.col(pos) / F.lit(width)))
+        tops = ranged.groupBy(key, "_rng").agg(F.max("_s").alias("_top"))
+        before = Window.partitionBy(key).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+        carried = tops.select(key, "_rng", F.max("_top").over(before).alias("_carry"))
+        inside = Window.partitionBy(key, "_rng").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+        seen = ranged.withColumn("_in", F.max("_s").over(inside)).join(carried, [key, "_rng"])
+        return seen.filter(F.col("_s") > F.greatest("_b", "_in", "_carry")).select(key, pos, "score")
+    open_rows = checkpoint(rows.select(key, pos, "score", "_s", "_b"))
+    found = None
+    while True:
+        better = open_rows.filter(F.col("_s") - F.col("_b") > cutoff)
+        first = checkpoint(better.groupBy(key).agg(F.min(F.struct(F.col(pos).alias("p"), F.col("score").alias("sc"), F.col("_s").alias("v"))).alias("f")))
+        if first.isEmpty():
+            break
+        hit = first.select(key, F.col("f.p").alias(pos), F.col("f.sc").alias("score"))
+        found = hit if found is None else found.unionByName(hit)
+        open_rows = checkpoint(
+            open_rows.join(first, key).filter(F.col(pos) > F.col("f.p")).select(key, pos, "score", "_s", F.col("f.v").alias("_b"))
+        )
+    return found if found is not None else rows.select(key, pos, "score").limit(0)
+
+
+def regroup_groups(pairs: PairSet, cutoff: float, lower: bool) -> DataFrame:
+    """Greedy grouping with the regroup rule: (id, group_id, score).
+
+    As ``greedy_groups``, but a pair that improves on the score of the item looked at by more than
+    ``cutoff`` moves both items into a new group. An item's scan over its larger neighbours is then
+    cut into versions by its regrouping pairs, and an item belongs to the version its last writer
+    was in. Within one similar class only the first member above an item can regroup, so copies
+    are again looked up per class. Groups are numbered by founding pair, emptied ones included.
+    """
+    graph = _Neighbours(pairs)
+    items = graph.items
+    below = checkpoint(graph.nearest(graph.around(items.select("idx", "cls"))))
+    ahead = checkpoint(graph.nearest(graph.around(items.select("idx", "cls")), forward=True))
+    has_lower = below.select(F.col("pos").alias("idx")).distinct()
+    first = ahead.join(has_lower.withColumnRenamed("idx", "pos"), "pos", "left_anti").groupBy("pos").agg(
+        F.min(F.struct("hit", "score")).alias("m")
+    )
+    heads = checkpoint(first.select(F.col("pos").alias("i"), F.col("m.hit").alias("k0"), F.col("m.score").alias("s0")))
+
+    # adopters: heads whose partner k0 already has a smaller neighbour
+    k_rows = heads.join(items.select(F.col("idx").alias("k0"), "cls"), "k0")
+    k_near = graph.nearest(
+        k_rows.join(graph.adjacency, "cls").select(F.col("d").alias("key"), F.col("i").alias("pos"), "score", "many")
+    )
+    k_low = checkpoint(k_near.select(F.col("pos").alias("i"), F.col("hit").alias("x"), F.col("score").alias("sx")).join(heads, "i"))
+    is_adopter = checkpoint(k_low.select("i", "k0", "s0").distinct())
+    other = is_adopter.select(F.col("i").alias("x"), "k0")
+    plain = k_low.join(other, ["x", "k0"], "left_anti").groupBy("i").agg(F.max(F.struct("x", "sx")).alias("m"))
+    adopters = checkpoint(
+        is_adopter.join(plain, "i").select("i", "k0", F.col("s0").alias("score"), F.col("m.x").alias("mx"), F.col("m.sx").alias("msx"))
+        .withColumn("seg", F.struct("k0", "mx"))
+    )
+    moved = checkpoint(_records(adopters, "seg", "i", "msx", cutoff, lower).select("i", F.col("seg.k0").alias("k0"), "score"))
+    stay = adopters.join(moved.select("i"), "i", "left_anti").select(F.col("i").alias("hit"), F.col("k0").alias("pos"))
+
+    # last writer and score at the start of each item's scan
+    writers = below.join(stay, ["hit", "pos"], "left_anti").groupBy("pos").agg(F.max(F.struct("hit", "score")).alias("w"))
+    writers = checkpoint(writers.select(F.col("pos").alias("node"), F.col("w.hit").alias("by"), F.col("w.score").alias("sc0")))
+    start = writers.select(F.col("node").alias("pos"), "sc0").unionByName(heads.select(F.col("i").alias("pos"), F.col("s0").alias("sc0")))
+    scan = ahead.join(heads.select(F.col("i").alias("pos"), F.col("k0").alias("hit")), ["pos", "hit"], "left_anti").join(start, "pos")
+    later = _records(scan, "pos", "hit", "sc0", cutoff, lower).select(F.col("pos").alias("i"), F.col("hit").alias("at"), "score")
+    # founding pairs: heads with an ungrouped partner, regrouping adopters, regrouping pairs of scans
+    founders = heads.join(adopters.select("i"), "i", "left_anti").select("i", F.col("k0").alias("at"), F.col("s0").alias("score"))
+    events = checkpoint(later.unionByName(founders).unionByName(moved.select("i", F.col("k0").alias("at"), "score")))
+    numbered = row_index(events, [F.col("i"), F.col("at")], "group_id")
+
+    # version of the writer an item (or, for a staying adopter, its partner) was written in
+    last_before = (
+        adopters.join(stay.select(F.col("hit").alias("i")), "i")
+        .select("i", "k0", F.col("mx").alias("x"))
+    )
+    regrouped = moved.select(F.col("i").alias("x"), "k0")
+    late = last_before.select("i", "k0").join(regrouped, "k0").filter(F.col("x") < F.col("i")).select("i", "k0", "x")
+    last_before = last_before.unionByName(late).groupBy("i", "k0").agg(F.max("x").alias("x"))
+    asked = writers.select("node", F.col("by").alias("x"), F.col("node").alias("at")).unionByName(
+        last_before.select(F.col("i").alias("node"), "x", F.col("k0").alias("at"))
+    )
+    # the as-of lookup finds positions strictly below, so the query asks one position further
+    version = asof(
+        events.select(F.col("i").alias("x"), "at"), asked.withColumn("at", F.col("at") + 1), "x", "at", graph.span + 2
+    ).select("node", "x", F.col("hit").alias("at"))
+    own = events.groupBy("i").agg(F.max(F.struct("at", "score")).alias("e")).select(
+        F.col("i").alias("node"), F.col("e.at").alias("own_at"), F.col("e.score").alias("own_score")
+    )
+    heads_with_event = founders.select(F.col("i").alias("node"), "at").unionByName(moved.select(F.col("i").alias("node"), F.col("k0").alias("at")))
+    origin = checkpoint(
+        version.select("node", "x", "at").unionByName(heads_with_event.select("node", F.col("node").alias("x"), "at"))
+    )
+    roots = chase_parents(origin.select("node", F.when(F.col("at").isNull(), F.col("x")).otherwise(F.col("node")).alias("parent")))
+    ends = origin.filter("at is not null").select(F.col("node").alias("root"), F.col("x").alias("f_i"), F.col("at").alias("f_at"))
+    state = (
+        roots.join(ends, "root").join(own, "node", "left").join(start.select(F.col("pos").alias("node"), "sc0"), "node")
+        .select(
+            "node",
+            F.when(F.col("own_at").isNotNull(), F.col("node")).otherwise(F.col("f_i")).alias("i"),
+            F.coalesce("own_at", "f_at").alias("at"), F.coalesce("own_score", "sc0").alias("score"),
+        )
+    )
+    return (
+        state.join(numbered.select("i", "at", "group_id"), ["i", "at"])
+        .join(items.select(F.col("idx").alias("node"), "id"), "node").select("id", "group_id", "score")
+    )
+
+
+# ------------------------------------------------------------------ supergroups
+
+# Share of the base threshold, and the lowest base threshold that is still used.
+SUPER_RATIO = 0.85
+SUPER_MIN = 0.5
+# Components with at most this many edges are clustered in one task, larger ones in rounds.
+COMPONENT_EDGES = 2_000_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): connected components of undirected edges (a, b) by minimum label and jumping."""
+    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
+        heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("seen"))
+        low = labels.join(heard, F.col("node") == F.col("a")).select("node", "label", F.least("label", "seen").alias("low"))
+        jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        step = checkpoint(low.join(jump, F.col("low") == F.col("_n")).select("node", "label", F.least("low", "_l").alias("next")))
+        done = step.filter(F.col("label") != F.col("next")).isEmpty()
+        labels = step.select("node", F.col("next").alias("label"))
+        if done:
+            return labels
+
+
+def complete_link(edges: DataFrame, edge_limit: int = COMPONENT_EDGES) -> DataFrame:
+    """(node, leader) of first-fit complete-link clusters over the edges (a, b), a < b.
+
+    In ascending order every node joins the first cluster all of whose members it is linked to,
+    which is what merging the first mergeable pair of clusters again and again comes to. Clusters
+    never leave a connected component.
+    """
+    labels = checkpoint(components(edges))
+    tagged = checkpoint(edges.join(labels, F.col("a") == F.col("node")).select("a", "b", "label"))
+    sizes = tagged.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    small = tagged.join(sizes.filter(F.col("m") <= edge_limit), "label", "left_semi")
+
+    def fit(pdf):
+        import pandas as pd
+
+        linked: dict = {}
+        for a, b in zip(pdf["a"], pdf["b"]):
+            linked.setdefault(a, set()).add(b)
+            linked.setdefault(b, set()).add(a)
+        leader, clusters = {}, {}
+        for node in sorted(linked):
+            homes = sorted({leader[x] for x in linked[node] if x in leader})
+            home = next((h for h in homes if clusters[h] <= linked[node]), node)
+            leader[node] = home
+            clusters.setdefault(home, set()).add(node)
+        return pd.DataFrame({"node": list(leader), "leader": list(leader.values())})
+
+    kind = edges.schema["a"].dataType.simpleString()
+    out = small.groupBy("label").applyInPandas(fit, f"node {kind}, leader {kind}")
+    big = tagged.join(sizes.filter(F.col("m") > edge_limit), "label", "left_semi").select("a", "b")
+    return out if big.isEmpty() else out.unionByName(_complete_link_rounds(checkpoint(big)))
+
+
+def _complete_link_rounds(edges: DataFrame) -> DataFrame:
+    """The same clusters, decided in rounds: a node is decided once its smaller neighbours are, and
+    once no smaller undecided node is linked to a leader it could join."""
+    both = checkpoint(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))))
+    state = checkpoint(both.select("v").distinct().withColumn("leader", F.lit(None).cast(both.schema["v"].dataType)))
+    while not state.filter("leader is null").isEmpty():
+        undecided = state.filter("leader is null").select("v")
+        first_open = both.join(undecided.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("w").alias("open"))
+        lower = both.join(undecided, "v").filter(F.col("w") < F.col("v")).join(
+            state.select(F.col("v").alias("w"), F.col("leader").alias("home")), "w"
+        ).join(first_open.select(F.col("v").alias("w"), "open"), "w", "left")
+        blocked = lower.filter(F.col("home").isNull() | ((F.col("home") == F.col("w")) & (F.col("open") < F.col("v")))).select("v").distinct()
+        ready = checkpoint(undecided.join(blocked, "v", "left_anti"))
+        sizes = state.filter("leader is not null").groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+        fits = (
+            lower.join(ready, "v").groupBy("v", "home").agg(F.count(F.lit(1)).alias("n"))
+            .join(sizes, F.col("home") == F.col("leader")).filter(F.col("n") == F.col("size")).groupBy("v").agg(F.min("home").alias("home"))
+        )
+        decided = ready.join(fits, "v", "left").select("v", F.coalesce("home", "v").alias("leader"))
+        state = checkpoint(state.join(ready, "v", "left_anti").unionByName(decided))
+    return state.select(F.col("v").alias("node"), "leader")
+
+
+def supergroups(groups: DataFrame, items: DataFrame, vec: str, threshold: float, min_viable: float = SUPER_MIN,
+                ratio: float = SUPER_RATIO, edge_limit: int = COMPONENT_EDGES) -> DataFrame:
+    """(group_id, supergroup_id, n_items): groups clustered by centroid similarity, smallest total first.
+
+    Skipped (empty) for thresholds below ``min_viable``. ``items`` has (id, vec).
+    """
+    from curaspark.operators.agg import centroid
+    from curaspark.operators.pairs import similar_pairs
+
+    empty = groups.select("group_id", F.lit(0).cast("bigint").alias("supergroup_id"), F.lit(0).cast("bigint").alias("n_items")).limit(0)
+    if threshold < min_viable:
+        return empty
+    members = groups.select("id", "group_id").join(items, "id").select("group_id", vec)
+    centers = checkpoint(centroid(members, "group_id", vec, "center"))
+    limit = threshold * ratio
+    # at-least test: scores are rounded to 9 places, so the strict join starts just below
+    found = similar_pairs(centers, "group_id", "center", limit - 1e-9)
+    expanded = found.members.withColumnRenamed("id", "g")
+    links = found.pairs.filter(F.col("score") >= limit).join(expanded.select(F.col("g").alias("x"), F.col("cls").alias("c")), "c").join(
+        expanded.select(F.col("g").alias("y"), F.col("cls").alias("d")), "d"
+    ).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = expanded.filter(F.col("g") != F.col("cls")).select(F.col("cls").alias("a"), F.col("g").alias("b"))
+    edges = checkpoint(links.unionByName(same).distinct())
+    sizes = group_sizes(groups)
+    if edges.isEmpty():
+        named = sizes.select("group_id", F.col("group_id").alias("leader"), "n_members")
+    else:
+        led = complete_link(edges, edge_limit)
+        named = sizes.join(led, F.col("group_id") == F.col("node"), "left").select("group_id", F.coalesce("leader", "group_id").alias("leader"), "n_members")
+    named = checkpoint(named)
+    totals = named.groupBy("leader").agg(F.sum("n_members").alias("n_items"))
+    ranked = row_index(totals, [F.col("n_items"), F.col("leader")], "supergroup_id")
+    return named.join(ranked, "leader").select("group_id", "supergroup_id", "n_items")
+
+
+def meaningful(supers: DataFrame) -> DataFrame:
+    """One row: whether any supergroup joins several groups."""
+    sizes = supers.groupBy("supergroup_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.bool_or(F.col("n") > 1), F.lit(False)).alias("meaningful"))
+
+
 def group_sizes(groups: DataFrame) -> DataFrame:
     return groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_members"))
 
@@ -163,9 +409,8 @@ def display_order(groups: DataFrame, order: DataFrame, desc: bool = True) -> Dat
 
     score = F.col("score").desc() if desc else F.col("score").asc()
     inside = group_index(groups, ["group_id"], [score, F.col("id")], "member_pos")
-    return inside.join(order.select("group_id", F.col("position").alias("group_pos")), "group_id").select(
-        "id", "group_id", "group_pos", "member_pos"
-    )
+    places = order.select(F.col("group_id").alias("_g"), F.col("position").alias("group_pos"))
+    return inside.join(places, F.col("group_id") == F.col("_g")).select("id", "group_id", "group_pos", "member_pos")
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
