@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -25,8 +26,8 @@ def ext(path) -> Column:
 
 
 def stem(path) -> Column:
-    name = basename(path)
-    return F.left(name, F.length(name) - F.length(ext(path)))
+    """Name without its extension."""
+    return F.regexp_replace(basename(path), r"(?s)^(\.*[^.].*)\.[^.]*$", "$1")
 
 
 def dirname(path) -> Column:
@@ -72,33 +73,26 @@ def media_type(path, enabled: Sequence[str] = MEDIA_FLAGS) -> Column:
 
 # ------------------------------------------------------------------ stems
 
-_DELIM = r"[_\s\p{Z}\-.]"
-_WORD = r"[^_\s\p{Z}\-.]"
-_PARTS = rf"(?s)^({_WORD}*)({_DELIM}+)({_WORD}*)(?:({_DELIM}+)({_WORD}*))?"
-
-
-def _has_alnum(c: Column) -> Column:
-    return c.rlike(r"[\p{L}\p{N}]")
+_D = r"[_\s\p{Z}\-.]"
+_W = r"[^_\s\p{Z}\-.]"
+# Alternatives in order. Group 1: results taken as they are, namely a first part of 30 characters,
+# or two parts of together 10. Group 2: results that must contain a letter or digit, namely a first
+# part of 3 before a second of up to 4, three parts when two are short, or the two.
+_BASE = (
+    rf"(?s)^(?:({_W}{{30,}}+)(?={_D})"
+    rf"|({_W}{{3,}}+)(?={_D}++{_W}{{0,4}}+(?:{_D}|$))"
+    rf"|({_W}*+{_D}++{_W}{{5,}}+(?<=^.{{10,400}}))"
+    rf"|({_W}*+{_D}++{_W}{{5,}}+{_D}++{_W}{{5,}}+)"
+    rf"|({_W}*+{_D}++{_W}{{5,}}+))"
+)
 
 
 def base_stem_of(name) -> Column:
     """Base stem of a name without extension (see :func:`base_stem`)."""
     s = _col(name)
-    first, d1, second, d2, third = (F.regexp_extract(s, _PARTS, g) for g in range(1, 6))
-    two = F.concat(first, d1, second)
-    three = F.concat(two, d2, third)
-    return (
-        F.when(~s.rlike(_DELIM), s)
-        .when(F.length(first) >= 30, first)
-        .when(
-            F.length(second) <= 4,
-            F.when((F.length(first) >= 3) & _has_alnum(first), first).otherwise(s),
-        )
-        .when(F.length(two) >= 10, two)
-        .when((F.length(third) > 4) & _has_alnum(three), three)
-        .when(_has_alnum(two), two)
-        .otherwise(s)
-    )
+    plain = F.concat(F.regexp_extract(s, _BASE, 1), F.regexp_extract(s, _BASE, 3))
+    checked = F.concat(*[F.regexp_extract(s, _BASE, g) for g in (2, 4, 5)])
+    return F.when(plain != "", plain).when(checked.rlike(r"[\p{L}\p{N}]"), checked).otherwise(s)
 
 
 def base_stem(path) -> Column:
@@ -149,22 +143,13 @@ def suffix_matches(name_stem, suffixes: Sequence[str]) -> Column:
     Leading separators of the configured suffix are dropped, case is ignored and a trailing number
     of the stem is optional.
     """
-    low = F.lower(_col(name_stem))
-    trimmed = F.regexp_replace(low, r"[_ ]*\p{Nd}+$", "")
-    test = F.lit(False)
-    for suffix in suffixes:
-        core = suffix.lower().lstrip("_ ")
-        if not core:
-            continue
-        tails = [core[:k] for k in range(len(core), 0, -1)]
-        for candidate in (trimmed, low):
-            for tail in tails:
-                before = F.substring(candidate, F.length(candidate) - len(tail), F.lit(1))
-                exact = candidate == tail
-                test = test | (
-                    F.endswith(candidate, F.lit(tail)) & (exact | ~before.rlike(r"^[\p{L}\p{N}]"))
-                )
-    return test
+    cores = [c for c in (x.lower().lstrip("_ ") for x in suffixes) if c]
+    if not cores:
+        return F.lit(False)
+    tails = sorted({core[:k] for core in cores for k in range(1, len(core) + 1)}, key=len, reverse=True)
+    any_tail = "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in tails)
+    number = r"(?:[_ ]+\p{Nd}+|(?<!\p{Nd})\p{Nd}+)?"
+    return F.lower(_col(name_stem)).rlike(rf"(?s)(?:^|[^\p{{L}}\p{{N}}])(?:{any_tail}){number}$")
 
 
 def known_suffix(name_stem, suffixes: Sequence[str]) -> Column:

@@ -97,7 +97,8 @@ def fuzzy_word_similarity(a, b) -> Column:
         )
 
     def near(x: Column, y: Column) -> Column:
-        return ~contains_either(x, y) & (F.levenshtein(x, y, NEAR_DISTANCE) >= 0)
+        alike = F.abs(F.length(x) - F.length(y)) <= NEAR_DISTANCE
+        return alike & ~contains_either(x, y) & (F.levenshtein(x, y, NEAR_DISTANCE) >= 0)
 
     inside = count_pairs(wa, wb, contains_either)
     close = count_pairs(F.array_except(wa, common), F.array_except(wb, common), near)

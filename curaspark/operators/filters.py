@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _any_contains(candidates: Column, name: str) -> Column:
+    return F.exists(candidates, lambda c: F.contains(F.lower(c), F.lit(name)))
+
+
 @dataclass
 class SizeFilter:
     """Width and height limits; every active limit must hold, unknown dimensions fail."""
@@ -64,8 +68,7 @@ class ModelFilter:
             candidates = F.concat(candidates, F.coalesce(F.col(loras), empty))
         found = None
         for name in self.models or []:
-            one = F.exists(candidates, lambda c, n=name.lower(): F.contains(F.lower(c), F.lit(n)))
-            one = F.coalesce(one, F.lit(False))
+            one = F.coalesce(_any_contains(candidates, name.lower()), F.lit(False))
             found = one if found is None else (found | one if self.match_any else found & one)
         if found is None:
             return F.lit(True)

@@ -46,13 +46,13 @@ def group_index(df: DataFrame, key: Sequence[str], order: Sequence[Column], name
     of any size stays spread over many partitions.
     """
     ranked = row_index(df, [F.col(k) for k in key] + list(order), "_g")
-    starts = ranked.groupBy(*key).agg(F.min("_g").alias("_g0"))
-    on = None
-    for k in key:
-        cond = ranked[k].eqNullSafe(starts[k])
-        on = cond if on is None else on & cond
-    joined = ranked.join(starts, on, "left")
-    return joined.select(*[ranked[c] for c in df.columns], (F.col("_g") - F.col("_g0")).alias(name))
+    marks = [f"_key{n}" for n in range(len(key))]
+    starts = ranked.groupBy(*[F.col(k).alias(m) for k, m in zip(key, marks)]).agg(F.min("_g").alias("_g0"))
+    on = F.lit(True)
+    for k, m in zip(key, marks):
+        on = on & F.col(k).eqNullSafe(F.col(m))
+    joined = ranked.join(starts, on)
+    return joined.select(*df.columns, (F.col("_g") - F.col("_g0")).alias(name))
 
 
 def asof(data: DataFrame, queries: DataFrame, key: str, pos: str, span: int, forward: bool = False) -> DataFrame:
