@@ -196,20 +196,15 @@ class DecisionWalk:
 
     # -------------------------------------------------------------- evaluation
 
-    def _test(self, c: Condition, results: dict[str, Column], node: str) -> Column:
+    def _test(self, c: Condition, leaf: Callable[[Condition], Column], known: Callable[[str], Column]) -> Column:
+        """Condition as a column; ``leaf`` gives tests of the row itself, ``known`` earlier results (null if none)."""
         o = c.options
         if c.kind in ("node_result", "group_child_result"):
             name = o.get("node_name") if c.kind == "node_result" else f"{o.get('group_node_name')}/{o.get('child_node_name')}"
-            prior = results.get(name)
-            return F.lit(False) if prior is None else F.coalesce(prior == F.lit(bool(o.get("expected_result", True))), F.lit(False))
+            return F.coalesce(known(name) == F.lit(bool(o.get("expected_result", True))), F.lit(False))
         if c.kind in ("composite", "group"):
             operator = o.get("operator", "AND" if c.kind == "composite" else "OR")
-            parts = []
-            for number, child in enumerate(c.children):
-                part = F.coalesce(self._test(child, results, node), F.lit(False))
-                if c.kind == "group":
-                    results[f"{node}/{child.options.get('name', number)}"] = part
-                parts.append(part)
+            parts = [self._test(child, leaf, known) for child in c.children]
             if operator == "NOT":
                 return ~parts[0]
             if operator == "XOR":
@@ -218,91 +213,119 @@ class DecisionWalk:
             for part in parts:
                 out = out & part if operator == "AND" else out | part
             return out
-        return CONDITIONS[c.kind](o)
+        return leaf(c)
+
+    @staticmethod
+    def _leaves(c: Condition) -> list[Condition]:
+        if c.kind in ("composite", "group"):
+            return [x for child in c.children for x in DecisionWalk._leaves(child)]
+        return [] if c.kind in ("node_result", "group_child_result") else [c]
 
     def run(self, df: DataFrame, is_seed: Column | None = None, path: str = "path") -> DataFrame:
         """Add (final_action, fired, ended_at, terminal) to every row.
 
         ``fired`` lists the actions in order as (action, modifier, node); ``terminal`` is how the
         walk ended. Inactive walks and media types the walk does not apply to leave nulls.
+
+        The tests of the row are one array column. The walk itself is one fold over the node
+        numbers, so the expression grows with the number of nodes and not with the paths through
+        them.
         """
         errors = self.validate()
         if errors:
             raise ValueError("; ".join(errors))
-        fired_type = "array<struct<action:string,modifier:string,node:string>>"
         seed_suffix = self.category_map.get(self.seed_category, "") if self.seed_category else ""
         applies = F.lit(self.is_active and bool(self.nodes))
         if self.media_types is not None:
             applies = applies & P.media_type(path).isin(*self.media_types)
         order = {n.name: i for i, n in enumerate(self.nodes)}
-        # state: position of the next node, actions so far, how and where the walk ended
-        state = df.withColumn("_at", F.when(applies, F.lit(0))).withColumn("_fired", F.array().cast(fired_type))
-        state = state.withColumn("_end", F.lit(None).cast("string")).withColumn("_final", F.lit(None).cast("string")).withColumn("_where", F.lit(None).cast("string"))
-        results: dict[str, Column] = {}
-        keep: list[str] = []
-        for i, node in enumerate(self.nodes):
-            if not node.enabled:
-                continue
-            here = (F.col("_end").isNull()) & (F.col("_at") <= i)
-            group_results: dict[str, Column] = dict(results)
-            test = F.coalesce(self._test(node.condition, group_results, node.name), F.lit(False))
-            if seed_suffix and is_seed is not None and node.on_match.action == "GENERATE" and node.on_match.modifier == seed_suffix:
-                test = test & ~F.coalesce(is_seed, F.lit(False))
-            state = state.withColumn(f"_r{i}", F.when(here, test))
-            keep.append(f"_r{i}")
-            results[node.name] = F.col(f"_r{i}")
-            for number, (key, part) in enumerate((k, v) for k, v in group_results.items() if k.startswith(node.name + "/")):
-                state = state.withColumn(f"_r{i}_{number}", F.when(here, part))
-                keep.append(f"_r{i}_{number}")
-                results[key] = F.col(f"_r{i}_{number}")
-            hit = F.col(f"_r{i}")
-
-            def by(of: Callable[[Outcome], Column | None], otherwise: Column, hit: Column = hit, node: Node = node) -> Column:
-                yes, no = of(node.on_match), of(node.on_no_match)
-                return F.when(hit, yes if yes is not None else otherwise).when(
-                    hit.isNotNull(), no if no is not None else otherwise
-                ).otherwise(otherwise)
-
-            def fire(o: Outcome, node: Node = node) -> Column | None:
-                action = self.default_reject_action if o.kind == "REJECT" else o.action
-                if o.kind not in (*NEEDS_ACTION, "REJECT") or action is None:
-                    return None
-                entry = F.struct(F.lit(action).alias("action"), F.lit(o.modifier if o.kind != "REJECT" else "").alias("modifier"), F.lit(node.name).alias("node"))
-                return F.concat(F.col("_fired"), F.array(entry))
-
-            def end(o: Outcome) -> Column | None:
-                return F.lit(o.kind) if o.kind in ("EXECUTE", "ACCEPT", "REJECT") else None
-
-            def final(o: Outcome) -> Column | None:
-                if o.kind == "EXECUTE":
-                    return F.lit(o.action)
-                return F.lit(self.default_reject_action).cast("string") if o.kind == "REJECT" else None
-
-            state = state.withColumns({
-                "_at": by(lambda o, i=i: F.lit(order[o.target] if o.kind == "GOTO" else i + 1), F.col("_at")),
-                "_fired": by(fire, F.col("_fired")),
-                "_end": by(end, F.col("_end")),
-                "_final": by(final, F.col("_final")),
-                "_where": by(lambda o, n=node: F.lit(n.name) if end(o) is not None else None, F.col("_where")),
-            })
-        last = F.try_element_at("_fired", F.lit(-1))["action"]
-        exhausted = F.col("_end").isNull() & F.col("_at").isNotNull()
+        live = [(i, n) for i, n in enumerate(self.nodes) if n.enabled]
+        leaves = [c for _, n in live for c in self._leaves(n.condition)]
+        place = {id(c): k for k, c in enumerate(leaves)}
+        tests = [F.coalesce(CONDITIONS[c.kind](c.options), F.lit(False)) for c in leaves]
+        seed = F.coalesce(is_seed, F.lit(False)) if is_seed is not None else F.lit(False)
+        ready = df.withColumn("_leaf", F.array(seed, *tests)).withColumn("_applies", applies)
+
+        def leaf(c: Condition) -> Column:
+            return F.get(F.col("_leaf"), F.lit(place[id(c)] + 1))
+
+        entry_type = "struct<action:string,modifier:string,node:string>"
+        empty = F.struct(
+            F.when(F.col("_applies"), F.lit(0)).alias("at"), F.array().cast(f"array<{entry_type}>").alias("fired"),
+            F.lit(None).cast("string").alias("end"), F.lit(None).cast("string").alias("final"), F.lit(None).cast("string").alias("where"),
+            F.create_map().cast("map<string,boolean>").alias("res"),
+        )
+
+        def entry(action: str | None, modifier: str, node: str) -> Column:
+            return F.struct(F.lit(action).alias("action"), F.lit(modifier).alias("modifier"), F.lit(node).alias("node")).cast(entry_type)
+
+        def step(acc: Column, number: Column) -> Column:
+            def known(name: str) -> Column:
+                return F.element_at(acc["res"], name)
+
+            test, extra = F.lit(None).cast("boolean"), F.create_map().cast("map<string,boolean>")
+            for i, n in live:
+                one = self._test(n.condition, leaf, known)
+                if seed_suffix and n.on_match.action == "GENERATE" and n.on_match.modifier == seed_suffix:
+                    one = one & ~F.get(F.col("_leaf"), F.lit(0))
+                test = F.when(number == i, one).otherwise(test)
+                if n.condition.kind == "group":
+                    named = []
+                    for k, child in enumerate(n.condition.children):
+                        named += [F.lit(f"{n.name}/{child.options.get('name', k)}"), self._test(child, leaf, known)]
+                    if named:
+                        extra = F.when(number == i, F.create_map(*named)).otherwise(extra)
+            here = acc["end"].isNull() & (acc["at"] <= number)
+            code = F.when(here, number * 2 + F.when(test, 0).otherwise(1))
+
+            def settle(state: Column, code: Column) -> Column:
+                return F.when(code.isNull(), state).otherwise(moved(state, code, extra))
+
+            return F.aggregate(F.array(code), acc, settle)
+
+        def moved(acc: Column, code: Column, extra: Column) -> Column:
+            at, fire = acc["at"], F.lit(None).cast(entry_type)
+            end, final, where = (F.lit(None).cast("string") for _ in range(3))
+            names = F.lit(None).cast("string")
+            for i, n in live:
+                for side, o in ((0, n.on_match), (1, n.on_no_match)):
+                    hit = code == 2 * i + side
+                    at = F.when(hit, F.lit(order[o.target] if o.kind == "GOTO" else i + 1)).otherwise(at)
+                    action = self.default_reject_action if o.kind == "REJECT" else o.action if o.kind in NEEDS_ACTION else None
+                    if action is not None:
+                        fire = F.when(hit, entry(action, "" if o.kind == "REJECT" else o.modifier, n.name)).otherwise(fire)
+                    if o.kind in ("EXECUTE", "ACCEPT", "REJECT"):
+                        end = F.when(hit, F.lit(o.kind)).otherwise(end)
+                        where = F.when(hit, F.lit(n.name)).otherwise(where)
+                        if o.kind != "ACCEPT":
+                            final = F.when(hit, F.lit(action).cast("string")).otherwise(final)
+                names = F.when(F.floor(code / 2) == i, F.lit(n.name)).otherwise(names)
+            return F.struct(
+                at.alias("at"), F.when(fire.isNull(), acc["fired"]).otherwise(F.concat(acc["fired"], F.array(fire))).alias("fired"),
+                end.alias("end"), final.alias("final"), where.alias("where"),
+                F.map_concat(acc["res"], F.create_map(names, code % 2 == 0), extra).alias("res"),
+            )
+
+        walked = ready.withColumn("_w", F.aggregate(F.lit([i for i, _ in live]).cast("array<int>"), empty, step))
+        fired, ended = F.col("_w.fired"), F.col("_w.end")
+        exhausted = ended.isNull() & F.col("_w.at").isNotNull()
+        last = F.try_element_at(fired, F.lit(-1))["action"]
         default = F.lit(self.default_action).cast("string")
-        return state.select(
+        closing = F.concat(fired, F.array(entry(self.default_action, "", "(default)"))) if self.default_action is not None else fired
+        return walked.select(
             *df.columns,
-            F.when(exhausted, F.coalesce(default, last)).otherwise(F.col("_final")).alias("final_action"),
-            F.when(
-                exhausted & default.isNotNull(),
-                F.concat("_fired", F.array(F.struct(default.alias("action"), F.lit("").alias("modifier"), F.lit("(default)").alias("node")))),
-            ).otherwise(F.col("_fired")).alias("fired"),
-            F.when(exhausted, "(end)").otherwise(F.col("_where")).alias("ended_at"),
-            F.when(exhausted, "EXHAUSTED").otherwise(F.col("_end")).alias("terminal"),
+            F.when(exhausted, F.coalesce(default, last)).otherwise(F.col("_w.final")).alias("final_action"),
+            F.when(exhausted, closing).otherwise(fired).alias("fired"),
+            F.when(exhausted, "(end)").otherwise(F.col("_w.where")).alias("ended_at"),
+            F.when(exhausted, "EXHAUSTED").otherwise(ended).alias("terminal"),
         )
 
     def run_node(self, df: DataFrame, name: str) -> DataFrame:
         """Evaluate one node alone: (matched, action). Earlier results count as missing."""
         node = next(n for n in self.nodes if n.name == name)
-        test = F.coalesce(self._test(node.condition, {}, node.name), F.lit(False))
+        test = self._test(
+            node.condition, lambda c: F.coalesce(CONDITIONS[c.kind](c.options), F.lit(False)), lambda name: F.lit(None).cast("boolean")
+        )
 
         def act(o: Outcome) -> Column:
             action = o.action if o.kind in NEEDS_ACTION else self.default_reject_action if o.kind == "REJECT" else None
@@ -460,9 +483,12 @@ def prepare_category_fill(df: DataFrame, working: DataFrame, targets: dict[str,
     for t in targets.values():
         part = t.select("path")
         everything = part if everything is None else everything.unionByName(part)
+    from curaspark.session import checkpoint
+
     out = add_unknown_suffix(df, working, "unknown_suffix", suffixes)
-    out = add_stem_match(out, everything, "stem_overflow", limit=limit or len(suffixes) + 1)
+    out = checkpoint(add_stem_match(out, everything, "stem_overflow", limit=limit or len(suffixes) + 1))
     for suffix in suffixes:
-        out = add_related_image(out, [working], f"gate{suffix}", suffix)
-        out = add_stem_match(out, targets[suffix], f"free{suffix}", require=False)
+        # a table per category keeps the plans small, however many categories there are
+        out = checkpoint(add_related_image(out, [working], f"gate{suffix}", suffix))
+        out = checkpoint(add_stem_match(out, targets[suffix], f"free{suffix}", require=False))
     return out

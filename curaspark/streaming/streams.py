@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from curaspark.session import ensure_checkpoint_dir
@@ -212,7 +213,8 @@ def drain(stream: DataFrame, keys: list[str] | None = None, mode: str = "append"
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    rows = spark.read.schema(schema.add("_batch", "int")).parquet(f"{folder}/rows")
+    stored = T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])
+    rows = spark.read.schema(stored).parquet(f"{folder}/rows")
     names = [c for c in rows.columns if c != "_batch"]
     if mode != "update" or not keys:
         return rows.select(*names)
