@@ -55,31 +55,32 @@ def bundle_adaptive(stream: DataFrame, key: str, ts: str = "ts", delay: str = "1
     """
     kind = stream.schema[key].dataType.simpleString()
     out = f"{key} {kind}, start_ts timestamp, end_ts timestamp, n long"
-    state_type = "start double, last double, n long, gap double"
+    state_type = "start long, last long, n long, gap double"  # times in microseconds
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(start: float, last: float, n: int) -> dict:
-            return {key: group[0], "start_ts": pd.Timestamp(start, unit="s"), "end_ts": pd.Timestamp(last, unit="s"), "n": n}
+        def row(start: int, last: int, n: int) -> dict:
+            return {key: group[0], "start_ts": pd.Timestamp(start, unit="us"), "end_ts": pd.Timestamp(last, unit="us"), "n": n}
 
         if state.hasTimedOut:
             start, last, n, _ = state.get
             state.remove()
             yield pd.DataFrame([row(start, last, n)])
             return
-        times = sorted(t for pdf in batches for t in pdf[ts].astype("datetime64[us]").astype("int64") / 1e6)
+        times = sorted(t for pdf in batches for t in pdf[ts].astype("datetime64[us]").astype("int64").tolist())
         start, last, n, gap = state.get if state.exists else (None, None, 0, BASE_GAP)
         done = []
         for t in times:
-            if last is not None:
-                gap = next_gap(gap, t - last)
-            if last is not None and t - last < gap:
+            since = None if last is None else (t - last) / 1e6
+            if since is not None:
+                gap = next_gap(gap, since)
+            if since is not None and since < gap:
                 last, n = t, n + 1
             else:
                 if last is not None:
                     done.append(row(start, last, n))
                 start, last, n = t, t, 1
         state.update((start, last, n, gap))
-        state.setTimeoutTimestamp(max(int((last + MAX_GAP) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(last // 1000 + int(MAX_GAP * 1000), state.getCurrentWatermarkMs() + 1))
         if done:
             yield pd.DataFrame(done)
 
