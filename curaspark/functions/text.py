@@ -52,10 +52,6 @@ CONTAINED = 0.9
 ELEMENT_BOOST = 1.3
 ELEMENT_CAP = 0.95
 FUZZY_CAP = 0.7
-SUBSTRING_WORD = 0.8
-NEAR_WORD = 0.6
-NEAR_DISTANCE = 2
-MIN_WORD = 3
 POSITIVE_WEIGHT = 0.7
 NEGATIVE_WEIGHT = 0.3
 
@@ -79,32 +75,11 @@ def prepare(text) -> Column:
 
 
 def fuzzy_word_similarity(a, b) -> Column:
-    """Word-set score: exact words, 0.8 per containing pair, 0.6 per pair within edit distance 2."""
-    wa, wb = _col(a), _col(b)
-    common = F.array_intersect(wa, wb)
+    """Word-set score: exact words, 0.8 per containing pair, 0.6 per pair within edit distance 2,
+    over the number of distinct words. Null arguments cost nothing and score 0."""
+    from curaspark.functions.fuzzy import fuzzy_words
 
-    def long_pair(x: Column, y: Column) -> Column:
-        return (x != y) & (F.length(x) >= MIN_WORD) & (F.length(y) >= MIN_WORD)
-
-    def contains_either(x: Column, y: Column) -> Column:
-        return F.contains(x, y) | F.contains(y, x)
-
-    def count_pairs(left: Column, right: Column, test) -> Column:
-        return F.aggregate(
-            left,
-            F.lit(0),
-            lambda n, x: n + F.size(F.filter(right, lambda y: long_pair(x, y) & test(x, y))),
-        )
-
-    def near(x: Column, y: Column) -> Column:
-        alike = F.abs(F.length(x) - F.length(y)) <= NEAR_DISTANCE
-        return alike & ~contains_either(x, y) & (F.levenshtein(x, y, NEAR_DISTANCE) >= 0)
-
-    inside = count_pairs(wa, wb, contains_either)
-    close = count_pairs(F.array_except(wa, common), F.array_except(wb, common), near)
-    total = F.size(F.array_union(wa, wb))
-    score = F.size(common) + inside * SUBSTRING_WORD + close * NEAR_WORD
-    return F.when(total > 0, score / total).otherwise(F.lit(0.0))
+    return fuzzy_words(_col(a), _col(b))
 
 
 def prepared_similarity(p, q, fuzzy: bool = True) -> Column:
@@ -117,14 +92,17 @@ def prepared_similarity(p, q, fuzzy: bool = True) -> Column:
     shared = F.size(F.array_intersect(a["elems"], b["elems"]))
     ratio = shared / F.size(F.array_union(a["elems"], b["elems"]))
     element = F.when(shared >= 2, F.least(F.lit(ELEMENT_CAP), ratio * ELEMENT_BOOST)).otherwise(ratio)
-    rest = F.least(F.lit(FUZZY_CAP), fuzzy_word_similarity(a["words"], b["words"])) if fuzzy else F.lit(0.0)
-    return (
+    first = (
         F.when(a["empty"] | b["empty"], F.lit(0.0))
         .when(a["low"] == b["low"], F.lit(1.0))
         .when(F.contains(a["low"], b["low"]) | F.contains(b["low"], a["low"]), F.lit(CONTAINED))
         .when(shared > 0, element)
-        .otherwise(rest)
     )
+    if not fuzzy:
+        return F.coalesce(first, F.lit(0.0))
+    # only texts undecided so far are handed to the word score
+    left = fuzzy_word_similarity(F.when(first.isNull(), a["words"]), F.when(first.isNull(), b["words"]))
+    return F.coalesce(first, F.least(F.lit(FUZZY_CAP), left))
 
 
 def text_similarity(a, b, fuzzy: bool = True) -> Column:

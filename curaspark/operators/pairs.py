@@ -283,34 +283,48 @@ def color_pairs(df: DataFrame, ident: str, lab: str, threshold: float = 15, bloc
     return PairSet(members, classes.select("cls", "n", "self_score"), checkpoint(pairs))
 
 
+# Sets whose two-token prefix is longer than this are indexed by single tokens.
+LONG_PREFIX = 24
+
+
 def token_candidates(sets: DataFrame, ident: str, tokens: str, min_jaccard: float) -> DataFrame:
     """Candidate pairs (c, d) of all rows whose token sets have a Jaccard index ≥ ``min_jaccard``.
 
-    Prefix filter: with tokens ordered from rare to frequent, two such sets share a token among the
-    first |s| − ⌈t·|s|⌉ + 1 of each. Frequent tokens therefore hardly ever become join keys.
+    Prefix filter: with tokens ordered from rare to frequent and a = ⌈t·|s|⌉ common tokens needed,
+    two such sets share at least k tokens among the first |s| − a + k of each. Sets needing two or
+    more common tokens are joined on pairs of prefix tokens (k = 2), which are far rarer than single
+    tokens; very small and very long sets are joined with all others on single ones (k = 1).
     """
     rows = sets.select(F.col(ident).alias("cls"), F.explode(tokens).alias("token"), F.size(tokens).alias("size"))
     freq = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (
-        rows.join(freq, "token")
-        .groupBy("cls", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("toks"))
+    # a token of one set joins nothing, but it still counts in the order
+    ordered = rows.join(freq, "token").groupBy("cls", "size").agg(
+        F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h")))).alias("toks")
     )
-    keep = F.col("size") - F.ceil(F.col("size") * min_jaccard - 1e-9) + 1
-    prefix = ordered.select(
-        "cls", "size", F.explode(F.slice("toks", F.lit(1), keep.cast("int"))).alias("t")
-    ).select("cls", "size", F.col("t.token").alias("token"))
-    left = prefix.select(F.col("cls").alias("c"), F.col("size").alias("sc"), "token")
-    right = prefix.select(F.col("cls").alias("d"), F.col("size").alias("sd"), "token")
-    return (
-        left.join(right, "token")
-        .filter(
-            (F.col("c") < F.col("d"))
-            & (F.least("sc", "sd") >= F.greatest("sc", "sd") * F.lit(min_jaccard) - 1e-9)
+    need = F.ceil(F.col("size") * min_jaccard - 1e-9).cast("int")
+    base = checkpoint(
+        ordered.select(
+            "cls", "size", F.filter(F.slice("toks", F.lit(1), F.col("size") - need + 1), lambda t: t["df"] > 1).alias("one"),
+            F.when(need >= 2, F.slice("toks", F.lit(1), F.col("size") - need + 2)).alias("two"),
+        ).withColumn("special", F.col("two").isNull() | (F.size("two") > LONG_PREFIX))
+    )
+
+    def sides(keyed: DataFrame, keys: list[str], left: DataFrame | None = None) -> DataFrame:
+        a = (left if left is not None else keyed).select(F.col("cls").alias("_a"), F.col("size").alias("_sa"), *keys)
+        b = keyed.select(F.col("cls").alias("_b"), F.col("size").alias("_sb"), *keys)
+        near = F.least("_sa", "_sb") >= F.greatest("_sa", "_sb") * F.lit(min_jaccard) - 1e-9
+        different = F.col("_a") < F.col("_b") if left is None else F.col("_a") != F.col("_b")
+        return a.join(b, keys).filter(different & near).select(F.least("_a", "_b").alias("c"), F.greatest("_a", "_b").alias("d"))
+
+    singles = base.select("cls", "size", "special", F.explode("one").alias("t")).select("cls", "size", "special", F.col("t.h").alias("h"))
+    kept = F.filter("two", lambda t: t["df"] > 1)
+    couples = F.flatten(
+        F.transform(
+            kept, lambda x, i: F.transform(F.slice(kept, i + 2, F.size(kept)), lambda y: F.struct(x["h"].alias("h"), y["h"].alias("g")))
         )
-        .select("c", "d")
-        .distinct()
     )
+    doubles = base.filter(~F.col("special")).select("cls", "size", F.explode(couples).alias("k")).select("cls", "size", "k.h", "k.g")
+    return sides(doubles, ["h", "g"]).unionByName(sides(singles, ["h"], singles.filter("special"))).distinct()
 
 
 def jaccard(a: Column, b: Column) -> Column:

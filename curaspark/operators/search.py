@@ -143,14 +143,18 @@ def validate_with_prototypes(df: DataFrame, ident: str, vec: str, positive, nega
 def search_text_exact(df: DataFrame, ident: str, pos: str, neg: str, positives: Sequence[str], negatives: Sequence[str] = (),
                       threshold: float = 0.85, k: int | None = SEARCH_RESULTS) -> DataFrame:
     """Best text score of any positive text minus half the best of any negative text, limited to [0, 1]."""
-    prepared = df.select(F.col(ident).alias("id"), X.prepare(pos).alias("p"), X.prepare(neg).alias("n"))
 
-    def best(texts: Sequence[str], sides: Sequence[str]) -> Column:
-        scores = [X.prepared_similarity(X.prepare(F.lit(t)), s) for t in texts for s in sides]
+    def best(texts: Sequence[str], sides: Sequence[str], fuzzy: bool) -> Column:
+        scores = [X.prepared_similarity(X.prepare(F.lit(t)), s, fuzzy) for t in texts for s in sides]
         return F.greatest(F.lit(0.0), F.lit(0.0), *scores)
 
-    combined = F.greatest(F.lit(0.0), F.least(F.lit(1.0), best(positives, ["p"]) - 0.5 * best(negatives, ["p", "n"])))
-    scored = prepared.select("id", F.round(combined, 9).alias("score")).filter(F.col("score") >= threshold)
+    # the negative part only lowers a score, so rows are first cut by the positive part; above the
+    # cap of the fuzzy stage that needs no word comparison
+    fuzzy = threshold <= X.FUZZY_CAP
+    first = df.select(F.col(ident).alias("id"), F.col(pos).alias("_p"), F.col(neg).alias("_n"), best(positives, [X.prepare(pos)], fuzzy).alias("_s"))
+    first = first.filter(F.col("_s") >= threshold)
+    combined = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s") - 0.5 * best(negatives, [X.prepare("_p"), X.prepare("_n")], True)))
+    scored = first.select("id", F.round(combined, 9).alias("score")).filter(F.col("score") >= threshold)
     return scored if k is None else top_k(scored, k)
 
 
