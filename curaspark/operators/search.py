@@ -15,6 +15,7 @@ from curaspark.functions import text as X
 from curaspark.functions import vec as V
 from curaspark.operators.order import top_k
 from curaspark.operators.pairs import set_similarity
+from curaspark.scale import hold, spread
 
 MAX_QUERIES = 1000
 SEARCH_RESULTS = 50
@@ -151,10 +152,12 @@ def search_text_exact(df: DataFrame, ident: str, pos: str, neg: str, positives:
     # the negative part only lowers a score, so rows are first cut by the positive part; above the
     # cap of the fuzzy stage that needs no word comparison
     fuzzy = threshold <= X.FUZZY_CAP
-    first = df.select(F.col(ident).alias("id"), F.col(pos).alias("_p"), F.col(neg).alias("_n"), best(positives, [X.prepare(pos)], fuzzy).alias("_s"))
-    first = first.filter(F.col("_s") >= threshold)
-    combined = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s") - 0.5 * best(negatives, [X.prepare("_p"), X.prepare("_n")], True)))
-    scored = first.select("id", F.round(combined, 9).alias("score")).filter(F.col("score") >= threshold)
+    rows = spread(df.select(F.col(ident).alias("id"), F.col(pos).alias("_p"), F.col(neg).alias("_n")), "id")
+    ready = hold(rows, "_pp", X.prepare("_p"))
+    first = hold(ready, "_s", best(positives, ["_pp"], fuzzy)).filter(F.col("_s") >= threshold)
+    both = hold(first, "_np", X.prepare("_n"))
+    combined = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s") - 0.5 * best(negatives, ["_pp", "_np"], True)))
+    scored = hold(both, "_c", F.round(combined, 9)).select("id", F.col("_c").alias("score")).filter(F.col("score") >= threshold)
     return scored if k is None else top_k(scored, k)
 
 

@@ -14,6 +14,7 @@ from curaspark.operators import relate as R
 from curaspark.operators import search as S
 from curaspark.operators.textpairs import text_pairs as join_texts
 from curaspark.plans.tables import table
+from curaspark.scale import spread
 
 
 def _doc(spark, folder) -> DataFrame:
@@ -25,7 +26,8 @@ def _turns(spark, folder) -> DataFrame:
     the SQL twins measure edit distances in bytes."""
     conv = table(spark, folder, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
-    return conv.join(nxt, ["conv_id", "turn"])
+    # a turn of a long conversation must not drag the whole conversation into one task
+    return spread(conv.join(nxt, ["conv_id", "turn"]).withColumn("turn_key", F.concat_ws("/", "conv_id", "turn")), "turn_key").drop("turn_key")
 
 
 # ------------------------------------------------------------------ similarity

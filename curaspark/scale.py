@@ -116,3 +116,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    A plain column is copied into every expression and pushed-down filter that uses it, which
+    multiplies the cost of an expensive one; the optimizer keeps a generated column as it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over at least as many partitions as there are cores, before costly work per row.
+
+    A few large files would otherwise bind that work to a few tasks; the explicit number also keeps
+    adaptive execution from merging the partitions again because they are small in bytes.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key)
