@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curaspark.llm import bpe_count, piece_codec
+from curaspark.llm import bpe_count, line_quality, passage_chains, piece_codec, reply_trees, signature_join, source_mix
+from curaspark.llm.twins import ORACLES
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
@@ -16,6 +18,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_join.linked_sets(table(spark, folder, "documents"))
+
+
 def op2_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.digests(table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -24,10 +30,38 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, folder, "documents"), public_tokenizers.path(BYTE_MODEL))
 
 
+def op5_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return line_quality.verdicts(table(spark, folder, "documents"))
+
+
+def op6_passage_chains(spark: SparkSession, folder: str) -> DataFrame:
+    found = passage_chains.passages(passage_chains.pieces(table(spark, folder, "documents")))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"),
+        F.col("source").alias("source_doc_id"), F.col("sources").alias("source_doc_ids"), F.col("same").alias("same_words"),
+    )
+
+
+def op7_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    messages = reply_trees.chains(rows.unionByName(probe), "conv_id", ["turn"])
+    done = reply_trees.conversations(messages)
+    return reply_trees.read_back(done).withColumnRenamed("tree", "conv_id")
+
+
+def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mix.mix_table(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_piece_codec": op2_piece_codec,
     "op4_token_counts": op4_token_counts,
+    "op5_line_quality": op5_line_quality,
+    "op6_passage_chains": op6_passage_chains,
+    "op7_reply_trees": op7_reply_trees,
+    "op10_source_mix": op10_source_mix,
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLES: dict[str, str] = {}
