@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curaspark.llm import bpe_count, line_quality, passage_chains, piece_codec, reply_trees, signature_join, source_mix
+from curaspark.llm import bpe_count, line_quality, passage_chains, piece_codec, reply_trees, signature_join, source_mix, toxicity
 from curaspark.llm.twins import ORACLES
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -26,6 +26,13 @@ def op2_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.digests(table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    scored = toxicity.scores(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, folder, "documents"), public_tokenizers.path(BYTE_MODEL))
 
@@ -58,6 +65,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_piece_codec": op2_piece_codec,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_line_quality": op5_line_quality,
     "op6_passage_chains": op6_passage_chains,
