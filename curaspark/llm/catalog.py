@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curaspark.llm import bpe_count, line_quality, passage_chains, piece_codec, reply_trees, signature_join, source_mix, toxicity
+from curaspark.llm import bpe_count, bilinear_lm, hamming_index, line_quality, passage_chains, piece_codec, reply_trees, signature_join, source_mix, toxicity
 from curaspark.llm.twins import ORACLES
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -58,6 +58,14 @@ def op7_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
     return reply_trees.read_back(done).withColumnRenamed("tree", "conv_id")
 
 
+def op8_bilinear_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return bilinear_lm.scores(table(spark, folder, "documents"))
+
+
+def op9_hamming_index(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming_index.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.mix_table(table(spark, folder, "documents"))
 
@@ -70,6 +78,8 @@ QUERIES = {
     "op5_line_quality": op5_line_quality,
     "op6_passage_chains": op6_passage_chains,
     "op7_reply_trees": op7_reply_trees,
+    "op8_bilinear_lm": op8_bilinear_lm,
+    "op9_hamming_index": op9_hamming_index,
     "op10_source_mix": op10_source_mix,
     "pipeline": corpus_pipeline.run,
 }
