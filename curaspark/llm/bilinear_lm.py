@@ -35,8 +35,8 @@ NEAR_WORDS = 31
 NEAR_CLASSES = 32
 #: A batch of texts reports a word for the list of frequent ones from so many occurrences on.
 OFTEN = 8
-#: Tokens of a step, noise words of a step, step size.
-STEP_TOKENS, NOISE, RATE = 8192, 32, 0.15
+#: Tokens of a step, noise words of a step, step size, and squared gradients that a row starts with.
+STEP_TOKENS, NOISE, RATE, POWER = 1024, 100, 0.05, 1e-5
 SMOOTH = 0.1
 SEED = 17
 END = WORDS
@@ -130,7 +130,7 @@ def _add_rows(table: np.ndarray, power: np.ndarray, rows: np.ndarray, grad: np.n
     total = np.add.reduceat(grad[order], starts, axis=0)
     which = sorted_rows[starts]
     power[which] += (total * total).mean(axis=1) if total.ndim == 2 else total * total
-    scale = rate / np.sqrt(power[which] + 1e-6)
+    scale = rate / np.sqrt(power[which] + 1e-12)
     table[which] -= total * (scale[:, None] if total.ndim == 2 else scale)
 
 
@@ -139,7 +139,7 @@ class Trainer:
 
     def __init__(self, unigram: np.ndarray):
         self.model = Model.fresh(unigram)
-        self.power = [np.full(len(t), 1.0, np.float32) for t in self.model.tables]
+        self.power = [np.full(len(t), POWER, np.float32) for t in self.model.tables]
         self.noise_log = np.log(NOISE * unigram).astype(np.float32)
         self.cumulative = np.cumsum(unigram)
         self.rng = np.random.default_rng(SEED)
@@ -276,11 +276,6 @@ def rare_words(rows: DataFrame, frequent: list[tuple[bytes, int]]) -> tuple[Data
     by = Window.partitionBy("word")
     each = each.withColumn("c", F.sum("learnt").over(by)).withColumn("nth", F.row_number().over(by.orderBy("rid")))
     seen = F.col("c") > 0
-    sums = each.groupBy("rid").agg(
-        F.sum(F.col("m") * F.log10(F.col("c") + SMOOTH)).alias("logs"), F.sum(F.when(seen, F.col("m")).otherwise(0)).alias("known"),
-        *[F.sum(F.when((F.col("class") == k) & seen & (F.col("nth") == 1), 1).otherwise(0)).alias(f"v{k}") for k in ()],
-    )
-    del sums
     per_class = each.groupBy("rid", "class").agg(
         F.sum(F.col("m") * F.log10(F.col("c") + SMOOTH)).alias("logs"), F.sum(F.when(seen, F.col("m")).otherwise(0)).alias("known"),
         F.sum("learnt").alias("n"), F.sum(F.when(seen & (F.col("nth") == 1), 1).otherwise(0)).alias("v"),
