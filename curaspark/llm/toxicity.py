@@ -90,7 +90,7 @@ def scope(opener: str, length: int, mark: str, inputs: tuple[str, ...], back: st
     for state in range(length + 1):
         for s in inputs:
             if s == opener:
-                after = length if not (back == opener and state) else 0
+                after = length
             elif s == back:
                 after = 0
             else:
@@ -100,11 +100,11 @@ def scope(opener: str, length: int, mark: str, inputs: tuple[str, ...], back: st
 
 
 def grammar() -> Transducer:
-    """Negation (three words), reporting verb (eight words), quotation (to the closing mark) and target (five words)."""
+    """Negation (three words), reporting verb or opening quotation mark (eight words, or to the closing mark), target (five words)."""
     plain = ALPHABET
     negated = (*plain, *(k + "-" for k in KINDS))
     said = (*negated, *(s + "r" for s in negated if s[0] in KINDS))
-    return scope("n", 3, "-", plain).then(scope("r", 8, "r", negated)).then(scope("g", 5, "@", said))
+    return scope("n", 3, "-", plain).then(scope("r", 8, "r", negated, back="q")).then(scope("g", 5, "@", said))
 
 
 #: Kinds of match: insult or threat, negated, reported, aimed at someone.
