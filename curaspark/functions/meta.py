@@ -93,12 +93,13 @@ def _reference(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>")[0])
 
 
-def workflow_prompts(df: DataFrame, ident: str, json_col: str, depth: int = 8) -> DataFrame:
+def workflow_prompts(df: DataFrame, ident: str, json_col: str) -> DataFrame:
     """(id, positive, negative) of workflow graphs.
 
     The first node with positive and negative inputs names two conditioning nodes (a KSampler
-    only when no such node came before); conditioning references are followed for ``depth`` steps
-    to a text encoder. A wildcard node's text replaces the positive one.
+    only when no such node came before); conditioning references are followed to a text encoder, in as
+    many steps as the graph has nodes, so a chain ends and a cycle leads nowhere. The text of the last wildcard node
+    replaces the positive one.
     """
     graph = workflow(json_col)
     entries = F.map_entries(graph)
@@ -117,7 +118,7 @@ def workflow_prompts(df: DataFrame, ident: str, json_col: str, depth: int = 8) -
         & F.map_contains_key(n["value"]["inputs"], "negative") & ~n["value"]["class_type"].startswith("KSampler"),
     )
     pick = F.coalesce(F.when(F.size(later) > 0, F.element_at(later, -1)), chosen)
-    wildcard = F.get(F.filter(F.col("e"), lambda n: n["value"]["class_type"] == "ImpactWildcardProcessor"), F.lit(0))
+    wildcard = F.get(F.reverse(F.filter(F.col("e"), lambda n: n["value"]["class_type"] == "ImpactWildcardProcessor")), F.lit(0))
     picked = base.withColumn("p", pick["value"]["inputs"]).withColumn("w", F.element_at(wildcard["value"]["inputs"], "populated_text"))
 
     def node(key: Column) -> Column:
@@ -130,16 +131,13 @@ def workflow_prompts(df: DataFrame, ident: str, json_col: str, depth: int = 8) -
 
     out = picked
     for side in ("positive", "negative"):
-        out = out.withColumn(f"k_{side}", _reference(F.element_at("p", side)))
-        for _ in range(depth):
-            key = F.col(f"k_{side}")
+        def step(key: Column, _: Column) -> Column:
             is_text = node(key)["class_type"] == "CLIPTextEncode"
-            out = out.withColumn(
-                f"k_{side}",
-                F.when(key.isNull() | F.coalesce(is_text, F.lit(False)), key).otherwise(
-                    _reference(F.element_at(node(key)["inputs"], "conditioning"))
-                ),
+            return F.when(key.isNull() | F.coalesce(is_text, F.lit(False)), key).otherwise(
+                _reference(F.element_at(node(key)["inputs"], "conditioning"))
             )
+
+        out = out.withColumn(f"k_{side}", F.aggregate("e", _reference(F.element_at("p", side)), step))
         key = F.col(f"k_{side}")
         out = out.withColumn(
             side, F.when(node(key)["class_type"] == "CLIPTextEncode", encoder_text(key)).otherwise(F.lit(""))

@@ -31,7 +31,8 @@ def stem(path) -> Column:
 
 
 def dirname(path) -> Column:
-    return F.regexp_replace(_col(path), r"/[^/]*$", "")
+    """Everything before the last slash, '' for a bare name."""
+    return F.regexp_extract(_col(path), r"(?s)^(.*)/[^/]*$", 1)
 
 
 def relative_tail(path, levels: int = 2) -> Column:
@@ -41,8 +42,10 @@ def relative_tail(path, levels: int = 2) -> Column:
 
 
 # Extensions by media type.
-VIDEO_EXTENSIONS = (".mp4", ".mkv", ".avi", ".mov", ".webm", ".flv", ".wmv", ".m4v", ".mpeg", ".mpg")
-AUDIO_EXTENSIONS = (".mp3", ".wav", ".flac", ".ogg", ".m4a", ".aac")
+VIDEO_EXTENSIONS = (".mp4", ".mkv", ".avi", ".wmv", ".mov", ".flv", ".webm", ".m4v", ".ogv", ".mpeg", ".mpg")
+AUDIO_EXTENSIONS = (
+    ".mp3", ".flac", ".ogg", ".opus", ".wav", ".m4a", ".m4b", ".aac", ".wma", ".weba", ".aiff", ".aif", ".au", ".ape", ".wv",
+)
 MEDIA_FLAGS = ("audio", "video", "gif", "pdf", "svg", "html")
 
 
@@ -75,24 +78,32 @@ def media_type(path, enabled: Sequence[str] = MEDIA_FLAGS) -> Column:
 
 _D = r"[_\s\p{Z}\-.]"
 _W = r"[^_\s\p{Z}\-.]"
-# Alternatives in order. Group 1: results taken as they are, namely a first part of 30 characters,
-# or two parts of together 10. Group 2: results that must contain a letter or digit, namely a first
-# part of 3 before a second of up to 4, three parts when two are short, or the two.
-_BASE = (
-    rf"(?s)^(?:({_W}{{30,}}+)(?={_D})"
-    rf"|({_W}{{3,}}+)(?={_D}++{_W}{{0,4}}+(?:{_D}|$))"
-    rf"|({_W}*+{_D}++{_W}{{5,}}+(?<=^.{{10,400}}))"
-    rf"|({_W}*+{_D}++{_W}{{5,}}+{_D}++{_W}{{5,}}+)"
-    rf"|({_W}*+{_D}++{_W}{{5,}}+))"
-)
+_TWO_PARTS = rf"{_W}*+{_D}++{_W}{{5,}}+"
+_THREE_PARTS = rf"{_TWO_PARTS}{_D}++{_W}{{5,}}+"
+# A first part of 30 characters stands alone; one of 3 does before a second part of up to 4 characters;
+# two parts are enough from 10 characters on.
+_LONG_FIRST = rf"{_W}{{30,}}+(?={_D})"
+_BEFORE_SHORT = rf"{_W}{{3,}}+(?={_D}++{_W}{{0,4}}+(?:{_D}|$))"
+_ENOUGH = 10
 
 
 def base_stem_of(name) -> Column:
     """Base stem of a name without extension (see :func:`base_stem`)."""
     s = _col(name)
-    plain = F.concat(F.regexp_extract(s, _BASE, 1), F.regexp_extract(s, _BASE, 3))
-    checked = F.concat(*[F.regexp_extract(s, _BASE, g) for g in (2, 4, 5)])
-    return F.when(plain != "", plain).when(checked.rlike(r"[\p{L}\p{N}]"), checked).otherwise(s)
+
+    def head(pattern: str) -> Column:
+        return F.regexp_extract(s, rf"(?s)^({pattern})", 1)
+
+    long_first, before_short, two, three = map(head, (_LONG_FIRST, _BEFORE_SHORT, _TWO_PARTS, _THREE_PARTS))
+    # results other than a long first part and two long parts must hold a letter or digit
+    short = F.when(before_short != "", before_short).when(three != "", three).otherwise(two)
+    whole = F.when(short.rlike(r"[\p{L}\p{N}]"), short).otherwise(s)
+    return (
+        F.when(long_first != "", long_first)
+        .when(before_short != "", whole)
+        .when(F.length(two) >= _ENOUGH, two)
+        .otherwise(whole)
+    )
 
 
 def base_stem(path) -> Column:

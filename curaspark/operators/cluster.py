@@ -80,7 +80,6 @@ def greedy_groups(pairs: PairSet) -> DataFrame:
     written = writers.groupBy("pos").agg(F.max(F.struct("hit", "score")).alias("w")).select(
         F.col("pos").alias("node"), F.col("w.score").alias("w_score")
     )
-    head_scores = heads.select(F.col("idx").alias("node"), "k0_score")
     # an item whose smaller neighbours all joined through it keeps the score of its own first pair up
     head_scores = heads.select(F.col("idx").alias("node"), "k0_score")
     bare = (

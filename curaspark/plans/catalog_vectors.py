@@ -11,6 +11,7 @@ from curaspark.operators import cluster as C
 from curaspark.operators import pairs as J
 from curaspark.operators import search as S
 from curaspark.plans.tables import table
+from curaspark.scale import broadcast_if_small
 from curaspark.session import checkpoint
 from curaspark.sources import media as M
 from curaspark.sources import sinks as K
@@ -104,7 +105,7 @@ def supergroups(spark, folder):
 
 def prompt_vector_pairs(spark, folder):
     """Positive vector minus half of the label's centroid as the negative vector."""
-    neg = F.broadcast(_centroids(spark, folder).limit(100_000))  # one row per label
+    neg = broadcast_if_small(_centroids(spark, folder))  # one row per label
     mixed = _emb(spark, folder).join(neg, "label").select("vec_id", V.combine_vectors("embedding", "vec").alias("v"))
     unit = mixed.select("vec_id", F.transform(V.l2_normalize("v"), lambda x: F.round(x, 7)).alias("v"))
     return J.similar_pairs(unit, "vec_id", "v", 0.35).rows().select("i", "j", F.round("score", 5).alias("score"))
@@ -253,7 +254,7 @@ def feature_fill(spark, folder):
 
 def stale_purge(spark, folder):
     emb = _emb(spark, folder).select(F.col("vec_id").alias("path"), "label")
-    return K.purge_stale(emb, emb.filter("label = 0").select("path"), ceilings=False).select("path", "label")
+    return K.purge_stale(emb, emb.filter("label = 0").select("path")).select("path", "label")
 
 
 def reference_row(spark, folder):

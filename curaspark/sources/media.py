@@ -61,16 +61,39 @@ def gather(roots: dict[str, DataFrame]) -> DataFrame:
 def gather_sorted(media: DataFrame, prefs: DataFrame, path: str = "path") -> DataFrame:
     """Order every root by its own preference: ``prefs`` has (base_dir, sort_by, descending).
 
-    Supported orders are name, size, mtime and full path; one numeric and one text key express
-    them all, so the whole gathering is a single range sort. Adds the dense position ``pos``.
+    Orders: name, full_path, ctime, mtime, type, size, name_length, related, random, pixels, height, width and suffix;
+    those that need a column (ctime, related, width, height …) need it in ``media``. One numeric and one text key
+    express them all, so the whole gathering is a single range sort. An order that is not known raises when it is
+    met. Adds the dense position ``pos``.
     """
-    from curaspark.scale import row_index
+    from curaspark.scale import broadcast_if_small, row_index
 
-    joined = media.join(F.broadcast(prefs.limit(100_000)), "base_dir", "left")  # one row per root
+    joined = media.join(broadcast_if_small(prefs), "base_dir", "left")  # one row per root
     by = F.coalesce("sort_by", F.lit("name"))
-    number = F.when(by == "size", F.col("size").cast("double")).when(by == "mtime", F.unix_micros(F.col("mtime").cast("timestamp")).cast("double"))
+    known = set(media.columns)
+
+    def micros(name: str) -> Column:
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+
+    numbers = {"name_length": F.length(P.basename(path)).cast("double"), "random": F.rand(7)}
+    numbers |= {n: F.col(n).cast("double") for n in ("size", "width", "height") if n in known}
+    numbers |= {n: micros(n) for n in ("ctime", "mtime") if n in known}
+    if {"width", "height"} <= known:
+        numbers["pixels"] = F.col("width").cast("double") * F.col("height")
+    texts = {
+        "name": P.natural_key(P.basename(path)), "full_path": F.lower(F.col(path)), "path": F.lower(F.col(path)),
+        "type": F.lower(P.ext(path)), "suffix": F.lower(P.variant_tail(path)),
+    }
+    if "related" in known:
+        texts["related"] = F.lower(F.col("related"))
+    number, text = F.lit(None).cast("double"), F.lower(F.col(path))
+    for name, value in numbers.items():
+        number = F.when(by == name, value).otherwise(number)
+    for name, value in texts.items():
+        text = F.when(by == name, value).otherwise(text)
+    unknown = ~by.isin(*numbers, *texts)
+    number = F.when(unknown, F.raise_error(F.concat(F.lit("no such order: "), by)).cast("double")).otherwise(number)
     sign = F.when(F.coalesce("descending", F.lit(False)), -1.0).otherwise(1.0)
-    text = F.when(by == "name", P.natural_key(P.basename(path))).otherwise(F.lower(F.col(path)))
     down = F.coalesce("descending", F.lit(False))
     keyed = joined.withColumn("_n", number * sign).withColumn("_up", F.when(~down, text)).withColumn("_down", F.when(down, text))
     order = [F.col("base_dir"), F.col("_n").asc_nulls_first(), F.col("_up").asc_nulls_first(), F.col("_down").desc_nulls_last(), F.col(path)]

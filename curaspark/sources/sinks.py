@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +14,17 @@ from curaspark.operators.agg import set_id
 # Gates of the stale-feature purge.
 PURGE_FACTOR = 2.0
 PURGE_FLOOR = 100
-LARGE_STORE = 40000
-LARGE_FOUND = 20000
-EXTERNAL_FACTOR = 5
 
 
-def purge_stale(store: DataFrame, media: DataFrame, found: int | None = None, last_clean: int | None = None,
-                external: bool = False, key: str = "path", ceilings: bool = True) -> DataFrame:
+def purge_stale(store: DataFrame, media: DataFrame, found: int | None = None, last_clean: int | None = None, key: str = "path") -> DataFrame:
     """Drop features whose file is gone, when the store looks inflated.
 
-    Kept as it is while it is at most max(100, 2·found) rows, when both sizes reach their ceilings
-    (``ceilings``: a guard for slow drives), or when it has not grown since the last clean run.
+    Kept as it is while it is at most max(100, 2·found) rows, or when it has not grown since the last clean run.
     """
     size = store.count()
     n = media.count() if found is None else found
-    factor = EXTERNAL_FACTOR if external else 1
     inflated = size > max(PURGE_FLOOR, PURGE_FACTOR * n)
-    too_large = ceilings and factor * size >= LARGE_STORE and factor * n >= LARGE_FOUND
-    if not inflated or too_large or (last_clean is not None and size <= last_clean):
+    if not inflated or (last_clean is not None and size <= last_clean):
         return store
     return store.join(media.select(key).distinct(), key, "left_semi")
 
@@ -48,8 +42,10 @@ def load_result(spark: SparkSession, inputs: DataFrame, folder: str, key: str =
     """Saved result when the input list is the same and every row belongs to it, else None."""
     try:
         saved = spark.read.schema("fingerprint string").json(f"{folder}/inputs").first()
-    except Exception:  # no such result
-        return None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # no such result
     if saved is None or saved["fingerprint"] != set_id(inputs).first()["set_id"]:
         return None
     result = spark.read.parquet(f"{folder}/result")

@@ -107,9 +107,9 @@ def frame_votes(stream: DataFrame, key: str, match: Column, ratio: float, slots:
 
 
 def exempt_stream(stream: DataFrame, recent: DataFrame, name: Column) -> DataFrame:
-    """Stream rows flagged when they are named in the compacted recent-action table (at most 100 rows)."""
-    small = F.broadcast(recent.select("basename").limit(100).withColumn("_hit", F.lit(True)))
-    return stream.join(small, name == small["basename"], "left").withColumn("exempt", F.coalesce("_hit", F.lit(False))).drop("_hit", "basename")
+    """Stream rows flagged when they are named in the recent-action table, however many names it holds."""
+    named = recent.select("basename").distinct().withColumn("_hit", F.lit(True))
+    return stream.join(named, name == named["basename"], "left").withColumn("exempt", F.coalesce("_hit", F.lit(False))).drop("_hit", "basename")
 
 
 # ------------------------------------------------------------------ verdict cache
@@ -207,7 +207,8 @@ def drain(stream: DataFrame, keys: list[str] | None = None, mode: str = "append"
     schema = stream.schema
 
     def batch(df: DataFrame, number: int) -> None:
-        df.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{folder}/rows")
+        # a batch that is run again replaces its own rows
+        df.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/run={number}")
 
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{folder}/log")
@@ -216,7 +217,7 @@ def drain(stream: DataFrame, keys: list[str] | None = None, mode: str = "append"
     query.awaitTermination()
     stored = T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])
     rows = spark.read.schema(stored).parquet(f"{folder}/rows")
-    names = [c for c in rows.columns if c != "_batch"]
+    names = schema.names
     if mode != "update" or not keys:
         return rows.select(*names)
     rest = [c for c in names if c not in keys]
