@@ -91,10 +91,11 @@ class Paths:
                 break
             waiting = left
             above = level.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more"), F.col("score").alias("extra"))
-            level = checkpoint(level.join(above, ["tree", "up"], "left").select(
-                "tree", "id", F.col("next").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
-                (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"),
-            ))
+            # only messages that have not reached their root are joined
+            moved = level.filter("up is not null").join(above, ["tree", "up"]).select(
+                "tree", "id", F.col("next").alias("up"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("score") + F.col("extra")).alias("score")
+            )
+            level = checkpoint(level.filter("up is null").unionByName(moved))
         #: every message with a root: the number of messages on its path, and their scores' sum
         self.nodes = level.filter("up is null").select("tree", "id", F.col("hops").alias("length"), "score")
         self.parents = rows.filter("up is not null").select("tree", F.col("up").alias("id")).distinct()
