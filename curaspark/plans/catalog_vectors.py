@@ -308,7 +308,7 @@ def diversity(spark, folder):
 
 def breadth(spark, folder):
     li = table(spark, folder, "lineitem")
-    return A.breadth(li, "l_suppkey", F.col("l_quantity") / 50.0, F.col("l_tax")).select("l_suppkey", _r6("score"))
+    return A.breadth(li, "l_suppkey", F.col("l_quantity") / 50.0, F.col("l_discount")).select("l_suppkey", _r6("score"))
 
 
 # ------------------------------------------------------------------ model sets
@@ -504,7 +504,7 @@ ORACLES = {
     "diversity": """WITH c AS (SELECT l_suppkey, CAST(l_quantity AS INT) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2),
       p AS (SELECT l_suppkey, n / sum(n) OVER (PARTITION BY l_suppkey) AS p FROM c)
       SELECT l_suppkey, round(least(-sum(p * log2(p)) / 6, 1.0), 6) AS score FROM p GROUP BY l_suppkey""",
-    "breadth": """WITH c AS (SELECT l_suppkey, least(floor(l_quantity / 50.0 * 36), 35) AS b, count(*) AS n FROM lineitem WHERE l_tax > 0.08 GROUP BY 1, 2),
+    "breadth": """WITH c AS (SELECT l_suppkey, least(floor(l_quantity / 50.0 * 36), 35) AS b, count(*) AS n FROM lineitem WHERE l_discount > 0.08 GROUP BY 1, 2),
       p AS (SELECT l_suppkey, n / sum(n) OVER (PARTITION BY l_suppkey) AS p FROM c),
       e AS (SELECT l_suppkey, least(-sum(p * log2(p)) / log2(36), 1.0) AS score FROM p GROUP BY l_suppkey)
       SELECT s.l_suppkey, round(coalesce(e.score, 0.0), 6) AS score FROM (SELECT DISTINCT l_suppkey FROM lineitem) s LEFT JOIN e USING (l_suppkey)""",

@@ -6,6 +6,8 @@ is ever walked on its own.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -81,10 +83,23 @@ def _prompt(o: dict) -> Column:
     return X.prompt_condition(o.get("column", "positive"), terms)
 
 
-# Condition types that read only the row's own columns. Conditions that need other rows
-# (stem matches, related files, predictions, prototypes) are joined to the table beforehand as
-# boolean columns and used through 'column'.
+# Condition types that need other rows. ``DecisionWalk.prepare`` joins a boolean column for each.
+JOINED = ("classifier_rank", "audio_classifier_rank", "base_stem_match", "unknown_suffix", "related_image")
+
+
+def joined_name(kind: str, options: dict) -> str:
+    """Name of the column that a condition of type ``kind`` is joined as: the same settings share one column."""
+    settings = json.dumps({k: v for k, v in options.items() if k != "column"}, sort_keys=True, default=str)
+    return f"_{kind}_{zlib.crc32(settings.encode()):08x}"
+
+
+def _joined(kind: str) -> Builder:
+    return lambda o: F.col(o.get("column") or joined_name(kind, o)).cast("boolean")
+
+
+# Condition types by name: those of the row's own columns, and the joined ones.
 CONDITIONS: dict[str, Builder] = {
+    **{kind: _joined(kind) for kind in JOINED},
     "always": lambda o: F.lit(True),
     "column": lambda o: F.col(o["column"]).cast("boolean"),
     "prompt": _prompt,
@@ -160,6 +175,21 @@ class DecisionWalk:
 
     def _condition_errors(self, c: Condition, node: str, before: set[str]) -> list[str]:
         errors = []
+        o = c.options
+        if c.kind not in CONDITIONS and c.kind not in ("node_result", "group_child_result", "composite", "group"):
+            errors.append(f"node {node!r}: unknown condition type {c.kind!r}")
+        if c.kind in ("classifier_rank", "audio_classifier_rank"):
+            low, high = o.get("min_rank", 1), o.get("max_rank", 1)
+            if low < 1 or high < low:
+                errors.append(f"node {node!r}: ranks {low} to {high} are no range")
+            if not o.get("categories") and not (o.get("inherit_categories") and self.category_map):
+                errors.append(f"node {node!r}: no categories to rank")
+        if c.kind == "filename_contains" and not any(str(p).strip() for p in o.get("patterns", [])):
+            errors.append(f"node {node!r}: no file name pattern")
+        if c.kind == "unknown_suffix" and not o.get("expected_suffixes"):
+            errors.append(f"node {node!r}: no expected suffixes")
+        if c.kind == "related_image" and not str(o.get("edit_suffix", "")).strip():
+            errors.append(f"node {node!r}: no suffix of the related file")
         if c.kind == "node_result" and c.options.get("node_name") not in before:
             errors.append(f"node {node!r}: refers to {c.options.get('node_name')!r}, which is not an earlier node")
         if c.kind == "composite":
@@ -215,6 +245,48 @@ class DecisionWalk:
             return out
         return leaf(c)
 
+    def prepare(self, df: DataFrame, predictions: dict[str, DataFrame] | None = None, directories: dict[str, DataFrame] | None = None,
+                working: DataFrame | None = None, path: str = "path") -> DataFrame:
+        """``df`` with a boolean column for every condition that needs other rows, so that ``run`` can read it by name.
+
+        ``predictions``: (path, category, score, ord) by classifier name; ``directories``: (path, ...) by search directory;
+        ``working``: the files of the working directory (by default ``df``). Conditions with the same settings share a column.
+        """
+        from curaspark.operators.agg import rank_condition
+
+        predictions, directories = predictions or {}, directories or {}
+        work = df if working is None else working
+        done: set[str] = set()
+        for node in self.nodes:
+            for c in self._leaves(node.condition) if node.enabled else []:
+                o = c.options
+                if c.kind not in JOINED or o.get("column") or (name := joined_name(c.kind, o)) in done:
+                    continue
+                done.add(name)
+                if c.kind in ("classifier_rank", "audio_classifier_rank"):
+                    categories = list(self.category_map) if o.get("inherit_categories") and self.category_map else o.get("categories", [])
+                    found = rank_condition(
+                        predictions[o.get("classifier_name", "")], path, categories, o.get("min_rank", 1), o.get("max_rank", 1),
+                        o.get("min_confidence", 0.0), o.get("negate", False),
+                    )
+                    df = df.join(found.withColumnRenamed("matched", name), path, "left")
+                    continue
+                near = o.get("use_working_directory") or o.get("use_base_directory") or not o.get("search_directory")
+                files = work if near and c.kind != "related_image" else directories.get(o.get("search_directory", ""))
+                if c.kind == "base_stem_match":
+                    only = o.get("suffix_filter", [])
+                    only = [only] if isinstance(only, str) and only else list(only or [])
+                    df = add_stem_match(df, files, name, only, o.get("require_match", True), o.get("max_stem_group_size", 0), path)
+                elif c.kind == "unknown_suffix":
+                    best = None
+                    if (preds := predictions.get(o.get("classifier_name", ""))) is not None:
+                        best = preds.groupBy(path).agg(F.max("score").alias("score"))
+                    df = add_unknown_suffix(df, files, name, o.get("expected_suffixes", []), best, o.get("inference_threshold", 0.85), path)
+                else:
+                    places = list(directories.values()) if o.get("use_configured_search_directories", True) else [files]
+                    df = add_related_image(df, places, name, o.get("edit_suffix", ""), o.get("count_threshold", 1))
+        return df
+
     @staticmethod
     def _leaves(c: Condition) -> list[Condition]:
         if c.kind in ("composite", "group"):
