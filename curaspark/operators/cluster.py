@@ -115,13 +115,13 @@ def _records(rows: DataFrame, key: str, pos: str, start: str, cutoff: float, low
     sign = -1.0 if lower else 1.0
     rows = rows.withColumn("_s", F.col("score") * sign).withColumn("_b", F.col(start) * sign)
     if cutoff == 0:
-        from curaspark.scale import RANGES
+        from curaspark.scale import range_width
 
         top = rows.agg(F.max(pos)).first()[0] or 0
-        width = max(1, -(-(top + 1) // RANGES))
+        width = range_width(top + 1)
         ranged = rows.withColumn("_rng", F.floor(F.col(pos) / F.lit(width)))
         tops = ranged.groupBy(key, "_rng").agg(F.max("_s").alias("_top"))
-        before = Window.partitionBy(key).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+        before = Window.partitionBy(key).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
         carried = tops.select(key, "_rng", F.max("_top").over(before).alias("_carry"))
         inside = Window.partitionBy(key, "_rng").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
         seen = ranged.withColumn("_in", F.max("_s").over(inside)).join(carried, [key, "_rng"])
@@ -460,13 +460,13 @@ def adjacency_breaks(df: DataFrame, order: list[Column], related: Column, run: s
 
 def running_total(df: DataFrame, pos: str, value: Column, name: str) -> DataFrame:
     """Inclusive running sum of ``value`` along the dense position ``pos``, computed per range."""
-    from curaspark.scale import RANGES
+    from curaspark.scale import range_width
 
     total = df.agg(F.max(pos)).first()[0]
-    width = max(1, -(-((total or 0) + 1) // RANGES))
+    width = range_width((total or 0) + 1)
     ranged = df.withColumn("_rng", F.floor(F.col(pos) / F.lit(width))).withColumn("_v", value)
     sums = ranged.groupBy("_rng").agg(F.sum("_v").alias("_s"))
-    prior = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    prior = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = sums.select("_rng", F.coalesce(F.sum("_s").over(prior), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_rng").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     return (

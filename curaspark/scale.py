@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 
 from curaspark.session import checkpoint
 
-# Number of ranges a hot key is split into by the as-of lookup.
+# A hot key is split into at least RANGES ranges, and into more where a range would hold more than RANGE_ROWS positions.
 RANGES = 256
+RANGE_ROWS = 1_000_000
+
+
+def range_width(positions: int) -> int:
+    """Positions of one range when ``positions`` are split."""
+    return max(1, min(-(-int(positions) // RANGES), RANGE_ROWS))
 
 
 def row_index(df: DataFrame, order: Sequence[Column], name: str = "idx") -> DataFrame:
@@ -59,10 +65,10 @@ def asof(data: DataFrame, queries: DataFrame, key: str, pos: str, span: int, for
     """For each query row the nearest ``data`` position strictly before (after) it within its key.
 
     ``data`` has (key, pos); ``queries`` has (key, pos, payload...). Returns the query rows with
-    ``hit``. ``span`` is the number of positions; every key is cut into at most RANGES ranges and
+    ``hit``. ``span`` is the number of positions; every key is cut into ranges of bounded length and
     the last position of earlier ranges is carried over through a small per-range summary.
     """
-    width = max(1, -(-int(span) // RANGES))
+    width = range_width(span)
     order = F.col(pos).desc() if forward else F.col(pos).asc()
     rng = F.floor(F.col(pos) / F.lit(width))
     marked = data.select(key, pos).withColumn("_data", F.lit(1)).withColumn("_rng", rng)
@@ -77,7 +83,7 @@ def asof(data: DataFrame, queries: DataFrame, key: str, pos: str, span: int, for
     edge = F.min(pos) if forward else F.max(pos)
     ends = marked.groupBy(key, "_rng").agg(edge.alias("_end"))
     rng_order = F.col("_rng").desc() if forward else F.col("_rng").asc()
-    # at most RANGES data rows and RANGES query rows per key
+    # one data row and one query row for each range of a key
     keys = asked.select(key, "_rng").distinct().join(ends, [key, "_rng"], "full")
     across = Window.partitionBy(key).orderBy(rng_order).rowsBetween(Window.unboundedPreceding, -1)
     carried = keys.select(key, "_rng", F.last("_end", ignorenulls=True).over(across).alias("_carry"))

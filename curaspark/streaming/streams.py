@@ -175,15 +175,15 @@ def rate_limit(df: DataFrame, order: list[Column], ts: str, seconds: float) -> D
     """
     from pyspark.sql import Window
 
-    from curaspark.scale import RANGES, row_index
+    from curaspark.scale import range_width, row_index
 
     queue = row_index(df, order, "queue_pos")
     base = F.unix_micros(F.col(ts).cast("timestamp")) - F.col("queue_pos") * F.lit(int(seconds * 1_000_000))
     total = queue.count()
-    width = max(1, -(-total // RANGES))
+    width = range_width(total)
     ranged = queue.withColumn("_v", base).withColumn("_rng", F.floor(F.col("queue_pos") / F.lit(width)))
     tops = ranged.groupBy("_rng").agg(F.max("_v").alias("_top"))
-    before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     carried = tops.select("_rng", F.max("_top").over(before).alias("_carry"))
     inside = Window.partitionBy("_rng").orderBy("queue_pos").rowsBetween(Window.unboundedPreceding, 0)
     best = F.greatest(F.max("_v").over(inside), F.col("_carry"))
