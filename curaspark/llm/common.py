@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Entries a process keeps in one of its memo tables before it starts afresh.
 MEMO_SIZE = 400_000
 
+#: Rows that are turned into Python objects at a time.
+AT_ONCE = 1000
+
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -65,21 +68,48 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def batch_windows(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """``window_hashes`` of the lower-cased words of every text, computed for many texts at once."""
+    out: list[np.ndarray] = []
+    for i in range(0, len(texts), 256):
+        words = [lowered_words(t) for t in texts[i : i + 256]]
+        sizes = [len(w) for w in words]
+        hashes = np.concatenate([word_hashes(w) for w in words]) if words else np.zeros(0, np.uint64)
+        n = len(hashes)
+        all_runs = np.full(max(0, n - width + 1), width, np.uint64)
+        for j in range(width if n >= width else 0):
+            all_runs *= STEP
+            all_runs += hashes[j : n - width + 1 + j]
+        all_runs = mix(all_runs)
+        at = 0
+        for size in sizes:
+            out.append(all_runs[at : at + size - width + 1] if size >= width else window_hashes(hashes[at : at + size], width))
+            at += size
+    return out
+
+
 def text_rows(docs: DataFrame, ident: str = "doc_id", text: str = "text", more: Iterable = ()) -> DataFrame:
     """(ident, text, more...) and nothing else, whatever other columns the table has."""
     return docs.select(F.col(ident), F.col(text).cast("binary").alias("_text"), *more)
 
 
-def per_batch(rows: DataFrame, make: Callable[[list[list]], list], schema: str) -> DataFrame:
-    """Apply ``make`` to the columns (as lists) of every Arrow batch; it returns the output columns.
+def slices(batches: Iterator[pa.RecordBatch], at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``at_once`` rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, at_once):
+            yield batch.slice(i, at_once)
+
+
+def per_batch(rows: DataFrame, make: Callable[[list[list]], list], schema: str, at_once: int = AT_ONCE) -> DataFrame:
+    """Apply ``make`` to the columns (as lists) of at most ``at_once`` rows; it returns the output columns.
 
     Spark streams the batches of a partition, so a task holds one batch at a time.
     """
     arrow = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = make([c.to_pylist() for c in batch.columns])
+        for part in slices(batches, at_once):
+            columns = make([c.to_pylist() for c in part.columns])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curaspark.llm.common import lowered_words, per_batch, text_rows, window_hashes, word_hashes
+from curaspark.llm.common import batch_windows, lowered_words, per_batch, text_rows, window_hashes, word_hashes
 from curaspark.operators.cluster import components
 from curaspark.session import checkpoint
 
@@ -31,8 +31,10 @@ WIDTH = 5
 PERCENT = 80
 #: A shingle that one batch of texts holds more often is reported as perhaps frequent; at most so many of the
 #: most frequent ones are put last. Both only steer the order of shingles, never which pairs are found.
-OFTEN = 6
+OFTEN = 4
 FREQUENT = 100_000
+#: Texts whose sets are compared for copies and frequent shingles at a time.
+TEXTS = 4000
 #: Sets or components that one task compares with each other.
 BLOCK = 256
 #: Slots of the filter that spares most texts the second reading; it lets some through, the join after it none.
@@ -48,6 +50,17 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(window_hashes(word_hashes(lowered_words(text)), width))
 
 
+def batch_shingles(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """``shingles`` of many texts."""
+    out = []
+    for runs in batch_windows(texts, width):
+        runs = np.sort(runs)
+        fresh = np.ones(len(runs), bool)
+        fresh[1:] = runs[1:] != runs[:-1]
+        out.append(runs if fresh.all() else runs[fresh])
+    return out
+
+
 def set_key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens)) - (1 << 63)
 
@@ -183,8 +196,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
     def make(columns: list[list]) -> list[list]:
         seen: dict[int, np.ndarray] = {}
-        for text in columns[1]:
-            tokens = shingles(text, width)
+        for tokens in batch_shingles(columns[1], width):
             if len(tokens):
                 seen[set_key(tokens)] = tokens
         if not seen:
@@ -193,45 +205,50 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
         often = counts >= OFTEN
         return [values[often].view(np.int64), counts[often]]
 
-    rows = per_batch(text_rows(docs), make, "token bigint, n bigint")
+    rows = per_batch(text_rows(docs), make, "token bigint, n bigint", TEXTS)
     top = rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
     return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
 
 
-def _profiles(docs: DataFrame, width: int, ident: str) -> DataFrame:
-    """(ident, node, n): the set of every row by its key; null for none."""
+_SIGNATURE = "power int, bits binary, lost array<bigint>"
 
-    def make(columns: list[list]) -> list[list]:
-        sets = [shingles(t, width) for t in columns[1]]
-        return [columns[0], [set_key(s) if len(s) else None for s in sets], [len(s) for s in sets]]
 
-    kind = docs.schema[ident].dataType.simpleString()
-    return per_batch(text_rows(docs, ident), make, f"id {kind}, node bigint, n bigint")
+def _profiles(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, ident: str) -> DataFrame:
+    """(id, node, n, signature..., prefix, cold) of every row; a set that a batch holds again comes without the last five.
 
-
-def _prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(token, salt, node): the prefix of every set; a set comes once a batch."""
+    The first ``cold`` shingles of a prefix are not frequent.
+    """
     last = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make(columns: list[list]) -> list[list]:
         hot = last.value
         seen: set[int] = set()
-        out: list[list] = [[], [], []]
-        for text in columns[1]:
-            tokens = shingles(text, width)
+        out: list[list] = [[] for _ in range(7)]
+        for tokens in batch_shingles(columns[1], width):
             n = len(tokens)
-            if not n or (key := set_key(tokens)) in seen:
-                continue
-            seen.add(key)
-            is_hot = np.isin(tokens, hot, assume_unique=True) if len(hot) else np.zeros(n, bool)
-            size = n - (percent * n + 99) // 100 + 1
-            order = np.argsort(is_hot, kind="stable")[:size]
-            out[0].append(tokens[order].view(np.int64))
-            out[1].append(np.where(is_hot[order], 1 + key % SALTS, 0).astype(np.int32))
-            out[2].append(np.full(len(order), key, np.int64))
-        return [np.concatenate(c) if c else [] for c in out]
+            key = set_key(tokens) if n else None
+            row = [key, n, None, None, None, None, None]
+            if n and key not in seen:
+                seen.add(key)
+                is_hot = _inside(tokens, hot)
+                order = np.argsort(is_hot, kind="stable")[: n - (percent * n + 99) // 100 + 1]
+                power, bits, lost = signature(tokens)
+                row[2:] = power, bits.to_bytes((1 << power) // 8, "little"), lost, tokens[order].view(np.int64), int((~is_hot[order]).sum())
+            for c, x in zip(out, row):
+                c.append(x)
+        return [columns[0], *out]
 
-    return per_batch(text_rows(docs), make, "token bigint, salt int, node bigint")
+    kind = docs.schema[ident].dataType.simpleString()
+    return per_batch(text_rows(docs, ident), make, f"id {kind}, node bigint, n bigint, {_SIGNATURE}, prefix array<bigint>, cold int", TEXTS)
+
+
+def _inside(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(table, values)
+    at[at == len(table)] = 0
+    return table[at] == values
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -248,15 +265,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def make(columns: list[list]) -> list[list]:
         some = filled.value
         out: dict[int, bytes] = {}
-        for text in columns[1]:
-            tokens = shingles(text, width)
+        for tokens in batch_shingles(columns[1], width):
             if len(tokens):
                 key = set_key(tokens)
                 if some[key % SLOTS // 32] >> (key % 32) & 1:
                     out[key] = tokens.tobytes()
         return [list(out), list(out.values())]
 
-    rows = per_batch(text_rows(docs), make, "node bigint, tokens binary")
+    rows = per_batch(text_rows(docs), make, "node bigint, tokens binary", TEXTS)
     return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -270,6 +286,27 @@ def meetings(rows: DataFrame, key: str, item: str, size: int = BLOCK) -> DataFra
     )
 
 
+def member_meetings(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(cluster, i, j, node, comp): block pairs in which members of different components of a cluster meet.
+
+    A component of more than one block has blocks of its own, which never meet each other; the rest are mixed.
+    """
+    sizes = rows.groupBy("cluster", "comp").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("own"))
+    mixed = rows.join(sizes, ["cluster", "comp"])
+    few = mixed.filter("own = 1").groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("mixed"))
+    mixed = mixed.join(few, "cluster", "left")
+    pure = F.struct(F.col("comp").alias("of"), F.pmod(F.xxhash64("node"), F.col("own")).cast("int").alias("k"))
+    shared = F.struct(F.lit(None).cast("bigint").alias("of"), F.pmod(F.xxhash64("comp"), F.col("mixed")).cast("int").alias("k"))
+    dealt = mixed.select("cluster", "node", "comp", F.when(F.col("own") > 1, pure).otherwise(shared).alias("block"))
+    blocks = dealt.select("cluster", "block").distinct()
+    pairs = blocks.withColumnRenamed("block", "i").join(blocks.withColumnRenamed("block", "j"), "cluster").filter(
+        "i <= j and (i.of is null or j.of is null or i.of != j.of)"
+    )
+    first = dealt.join(pairs.withColumn("block", F.col("i")), ["cluster", "block"])
+    second = dealt.join(pairs.filter("i != j").withColumn("block", F.col("j")), ["cluster", "block"])
+    return first.unionByName(second).select("cluster", "i", "j", "node", "comp")
+
+
 def _verified(groups: DataFrame, keys: list[str], sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links among the sets of every group; rows are (keys..., node, comp)."""
     filled = groups.join(sets, "node").groupBy(*keys).agg(F.collect_list(F.struct("node", "comp", "tokens")).alias("sets"))
@@ -278,34 +315,37 @@ def _verified(groups: DataFrame, keys: list[str], sets: DataFrame, percent: int)
         found = [pair for sets in columns[0] for pair in _links(sets, percent)]
         return [[a for a, _ in found], [b for _, b in found]]
 
-    return per_batch(filled.select("sets"), make, "a bigint, b bigint")
+    return per_batch(filled.select("sets"), make, "a bigint, b bigint", 64)
+
 
+def _unpruned(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (node, anchor) whose signatures leave a link possible."""
+    own = signatures.select("node", F.struct("low", "high", "power", "bits", "lost").alias("x"))
+    other = signatures.select(F.col("node").alias("anchor"), F.struct("low", "high", "power", "bits", "lost").alias("y"))
+
+    def make(columns: list[list]) -> list[list]:
+        keep = [k for k, (x, y) in enumerate(zip(columns[2], columns[3])) if unpack(x).may_link(unpack(y), percent)]
+        return [[columns[0][k] for k in keep], [columns[1][k] for k in keep]]
 
-def _summaries(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(comp, low, high, power, bits, lost): one tree node for every component, combined in two steps."""
-    entry = "low bigint, high bigint, power int, bits binary, lost array<bigint>"
+    both = pairs.join(own, "node").join(other, "anchor").select("node", "anchor", "x", "y")
+    return per_batch(both, make, "node bigint, anchor bigint")
 
-    def pack(nodes: list[Node]) -> list[list]:
+
+def _summaries(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(comp, low, high, signature...): one tree node for every component, combined in two steps."""
+
+    def make(columns: list[list]) -> list[list]:
+        nodes = [Node.over([unpack(x) for x in group]) for group in columns[1]]
         return [
-            [n.low for n in nodes], [n.high for n in nodes], [n.power for n in nodes],
+            columns[0], [n.low for n in nodes], [n.high for n in nodes], [n.power for n in nodes],
             [n.bits.to_bytes((1 << n.power) // 8, "little") for n in nodes], [n.lost for n in nodes],
         ]
 
-    def first(columns: list[list]) -> list[list]:
-        nodes = []
-        for group in columns[1]:
-            tokens = [np.frombuffer(t, np.uint64) for t in group]
-            nodes.append(Node.over([Node(len(t), len(t), *signature(t)) for t in tokens]))
-        return [columns[0], *pack(nodes)]
-
-    def second(columns: list[list]) -> list[list]:
-        return [columns[0], *pack([Node.over([unpack(x) for x in group]) for group in columns[1]])]
-
-    salt = F.pmod("node", F.lit(SALTS))
-    parts = members.join(sets, "node").groupBy("comp", salt.alias("salt")).agg(F.collect_list("tokens").alias("t")).select("comp", "t")
-    parts = per_batch(parts, first, f"comp bigint, {entry}")
-    parts = parts.groupBy("comp").agg(F.collect_list(F.struct("low", "high", "power", "bits", "lost")).alias("t"))
-    return per_batch(parts, second, f"comp bigint, {entry}")
+    entry = F.collect_list(F.struct("low", "high", "power", "bits", "lost")).alias("t")
+    schema = f"comp bigint, low bigint, high bigint, {_SIGNATURE}"
+    salt = F.pmod("node", F.lit(SALTS)).alias("salt")
+    parts = members.join(signatures, "node").groupBy("comp", salt).agg(entry).select("comp", "t")
+    return per_batch(per_batch(parts, make, schema).groupBy("comp").agg(entry), make, schema)
 
 
 def unpack(x: dict, item=None) -> Node:
@@ -313,7 +353,7 @@ def unpack(x: dict, item=None) -> Node:
 
 
 def _walked(groups: DataFrame, summaries: DataFrame, percent: int) -> DataFrame:
-    """(cluster, comp): components of a group that survive the walk over its tree, as clusters of surviving pairs."""
+    """(cluster, comp): components that survive the walk over some tree, clustered by the pairs that survive."""
     filled = groups.join(summaries, "comp").groupBy("bucket").agg(
         F.collect_list(F.struct("comp", "low", "high", "power", "bits", "lost")).alias("nodes")
     )
@@ -331,8 +371,31 @@ def _walked(groups: DataFrame, summaries: DataFrame, percent: int) -> DataFrame:
             clusters += parts.values()
         return [clusters]
 
-    found = per_batch(filled.select("nodes"), make, "comps array<bigint>").distinct()
-    return found.select(F.xxhash64("comps").alias("cluster"), F.explode("comps").alias("comp"))
+    found = checkpoint(per_batch(filled.select("nodes"), make, "comps array<bigint>", 64).distinct())
+    # clusters that share a component are one, so that a set travels to one place
+    other = F.explode(F.slice("comps", 2, F.size("comps"))).alias("b")
+    return components(found.select(F.element_at("comps", 1).alias("a"), other)).select(F.col("label").alias("cluster"), F.col("node").alias("comp"))
+
+
+def _by_size(groups: DataFrame, percent: int) -> DataFrame:
+    """(bucket, comp): groups of (comp, low, high) cut where sizes are too far apart to link; lone components go."""
+
+    def make(columns: list[list]) -> list[list]:
+        out: set[tuple[int, ...]] = set()
+        for comps in columns[0]:
+            comps.sort(key=lambda c: (c["low"], c["comp"]))
+            run, top = [], 0
+            for c in [*comps, {"comp": None, "low": float("inf"), "high": 0}]:
+                if 100 * top < percent * c["low"]:
+                    if len(run) > 1:
+                        out.add(tuple(sorted(run)))
+                    run, top = [], 0
+                run.append(c["comp"])
+                top = max(top, c["high"])
+        return [[list(x) for x in out]]
+
+    found = per_batch(groups, make, "comps array<bigint>").distinct()
+    return found.select(F.xxhash64("comps").alias("bucket"), F.explode("comps").alias("comp"))
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -342,41 +405,52 @@ def _labels(edges: DataFrame) -> DataFrame:
 def linked_sets(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(ident, n_shingles, component_id) of every row; component_id is the smallest id reachable by links.
 
-    Reads the texts four times (frequent shingles, profiles, prefixes, candidate sets); only prefixes - a fifth
-    of the shingles - and the sets of candidates are shuffled. Nothing is collected but the frequent
-    shingles (at most FREQUENT) and a filter of SLOTS bits.
+    Reads the texts three or four times (frequent shingles, profiles, sets that signatures could not prune). Only
+    prefixes - a fifth of the shingles - signatures and those sets are shuffled. Nothing is collected but the
+    frequent shingles (at most FREQUENT) and filters of SLOTS bits.
     """
     docs = docs.select(F.col(ident), F.col(text).alias("text"))
     rows = docs.withColumnRenamed(ident, "doc_id")
-    profiles = checkpoint(_profiles(docs, width, ident))
-    index = _prefixes(rows, width, percent, _frequent(rows, width)).withColumnRenamed("node", "_n")
+    profiles = checkpoint(_profiles(docs, width, percent, _frequent(rows, width), ident))
+    fresh = profiles.filter("prefix is not null")
+    index = fresh.select("node", "cold", F.posexplode("prefix").alias("at", "token"))
+    salt = F.when(F.col("at") >= F.col("cold"), 1 + F.pmod("node", F.lit(SALTS))).otherwise(0).cast("int")
     over = Window.partitionBy("token", "salt")
-    index = index.select("token", "salt", F.col("_n").alias("node"), F.min("_n").over(over).alias("anchor"), F.max("_n").over(over).alias("top"))
+    index = index.select("token", salt.alias("salt"), "node")
+    index = index.select("token", "salt", "node", F.min("node").over(over).alias("anchor"), F.max("node").over(over).alias("top"))
     # a frequent shingle counts as shared even where one of its parts holds a single set
     shared = checkpoint(index.filter("anchor < top or salt > 0").select("token", "node", "anchor").distinct())
-    sets = checkpoint(_sets(rows, shared.select("node").distinct(), width))
+    some = checkpoint(shared.select("node").distinct())
+    signatures = fresh.select("node", F.col("n").alias("low"), F.col("n").alias("high"), "power", "bits", "lost")
+    signatures = checkpoint(signatures.join(some, "node", "left_semi").dropDuplicates(["node"]))
 
     # first round: every set with the one it shares most of its prefix with
     votes = shared.filter("node != anchor").groupBy("node", "anchor").count()
     best = votes.groupBy("node").agg(F.max_by("anchor", F.struct("count", "anchor")).alias("anchor"))
+    best = checkpoint(_unpruned(best, signatures, percent))
+    ends = best.select("node").unionByName(best.select(F.col("anchor").alias("node"))).distinct()
+    sets = checkpoint(_sets(rows, ends, width))
     stars = best.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     hubs = stars.select("anchor", "part").distinct().withColumn("node", F.col("anchor"))
     stars = stars.unionByName(hubs).withColumn("comp", F.col("node"))
     edges = checkpoint(_verified(stars, ["anchor", "part"], sets, percent))
 
     # second round: components under a common shingle
-    members = sets.select("node").join(_labels(edges), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    members = checkpoint(members)
+    members = checkpoint(some.join(_labels(edges), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
     under = shared.select("token", "node").join(members, "node").select("token", "comp").distinct()
-    meet = meetings(under, "token", "comp").groupBy("token", "i", "j").agg(F.sort_array(F.collect_set("comp")).alias("comps"))
-    buckets = meet.filter(F.size("comps") > 1).select("comps").distinct()
-    buckets = buckets.select(F.xxhash64("comps").alias("bucket"), F.explode("comps").alias("comp"))
-    near = checkpoint(_walked(buckets, _summaries(members, sets), percent))
-    face = meetings(near.join(members, "comp"), "cluster", "node")
+    summaries = checkpoint(_summaries(members, signatures))
+    meet = meetings(under, "token", "comp").join(summaries.select("comp", "low", "high"), "comp")
+    meet = meet.groupBy("token", "i", "j").agg(F.collect_set(F.struct("comp", "low", "high")).alias("comps"))
+    buckets = _by_size(meet.filter(F.size("comps") > 1).select("comps"), percent)
+    near = checkpoint(_walked(buckets, summaries, percent))
+    face = checkpoint(member_meetings(near.join(members, "comp")))
+    missing = checkpoint(face.select("node").distinct().join(sets.select("node"), "node", "left_anti"))
+    if not missing.isEmpty():
+        sets = sets.unionByName(checkpoint(_sets(rows, missing, width)))
     more = _verified(face, ["cluster", "i", "j"], sets, percent)
     labels = _labels(checkpoint(edges.unionByName(more)))
 
-    named = profiles.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = profiles.select("id", "n", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = checkpoint(named.select("id", "n", "comp"))
     smallest = named.groupBy("comp").agg(F.min("id").alias("least"))
     joined = named.join(smallest, "comp", "left")
