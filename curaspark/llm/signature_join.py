@@ -332,7 +332,7 @@ def _unpruned(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
 
 
 def _summaries(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(comp, low, high, signature...): one tree node for every component, combined in two steps."""
+    """(comp, low, high, signature...): one tree node for every component; those of several sets are combined in two steps."""
 
     def make(columns: list[list]) -> list[list]:
         nodes = [Node.over([unpack(x) for x in group]) for group in columns[1]]
@@ -341,11 +341,14 @@ def _summaries(members: DataFrame, signatures: DataFrame) -> DataFrame:
             [n.bits.to_bytes((1 << n.power) // 8, "little") for n in nodes], [n.lost for n in nodes],
         ]
 
-    entry = F.collect_list(F.struct("low", "high", "power", "bits", "lost")).alias("t")
+    fields = ["low", "high", "power", "bits", "lost"]
+    entry = F.collect_list(F.struct(*fields)).alias("t")
     schema = f"comp bigint, low bigint, high bigint, {_SIGNATURE}"
-    salt = F.pmod("node", F.lit(SALTS)).alias("salt")
-    parts = members.join(signatures, "node").groupBy("comp", salt).agg(entry).select("comp", "t")
-    return per_batch(per_batch(parts, make, schema).groupBy("comp").agg(entry), make, schema)
+    several = members.groupBy("comp").count().filter("count > 1").select("comp", F.lit(True).alias("several"))
+    filled = members.join(several, "comp", "left").join(signatures, "node")
+    parts = filled.filter("several").groupBy("comp", F.pmod("node", F.lit(SALTS)).alias("salt")).agg(entry).select("comp", "t")
+    combined = per_batch(per_batch(parts, make, schema).groupBy("comp").agg(entry), make, schema)
+    return filled.filter("several is null").select("comp", *fields).unionByName(combined)
 
 
 def unpack(x: dict, item=None) -> Node:
@@ -420,14 +423,19 @@ def linked_sets(docs: DataFrame, ident: str = "doc_id", text: str = "text", widt
     index = index.select("token", "salt", "node", F.min("node").over(over).alias("anchor"), F.max("node").over(over).alias("top"))
     # a frequent shingle counts as shared even where one of its parts holds a single set
     shared = checkpoint(index.filter("anchor < top or salt > 0").select("token", "node", "anchor").distinct())
-    some = checkpoint(shared.select("node").distinct())
-    signatures = fresh.select("node", F.col("n").alias("low"), F.col("n").alias("high"), "power", "bits", "lost")
-    signatures = checkpoint(signatures.join(some, "node", "left_semi").dropDuplicates(["node"]))
+    sizes = checkpoint(fresh.select("node", "n").join(shared.select("node").distinct(), "node", "left_semi").distinct())
 
-    # first round: every set with the one it shares most of its prefix with
+    def signatures(nodes: DataFrame) -> DataFrame:
+        found = fresh.select("node", F.col("n").alias("low"), F.col("n").alias("high"), "power", "bits", "lost")
+        return checkpoint(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+    # first round: every set with the one of a fitting size that it shares most of its prefix with
     votes = shared.filter("node != anchor").groupBy("node", "anchor").count()
-    best = votes.groupBy("node").agg(F.max_by("anchor", F.struct("count", "anchor")).alias("anchor"))
-    best = checkpoint(_unpruned(best, signatures, percent))
+    votes = votes.join(sizes, "node").join(sizes.select(F.col("node").alias("anchor"), F.col("n").alias("m")), "anchor")
+    votes = votes.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    best = checkpoint(votes.groupBy("node").agg(F.max_by("anchor", F.struct("count", "anchor")).alias("anchor")))
+    both = best.select("node").unionByName(best.select(F.col("anchor").alias("node"))).distinct()
+    best = checkpoint(_unpruned(best, signatures(both), percent))
     ends = best.select("node").unionByName(best.select(F.col("anchor").alias("node"))).distinct()
     sets = checkpoint(_sets(rows, ends, width))
     stars = best.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
@@ -435,13 +443,16 @@ def linked_sets(docs: DataFrame, ident: str = "doc_id", text: str = "text", widt
     stars = stars.unionByName(hubs).withColumn("comp", F.col("node"))
     edges = checkpoint(_verified(stars, ["anchor", "part"], sets, percent))
 
-    # second round: components under a common shingle
-    members = checkpoint(some.join(_labels(edges), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+    # second round: components under a common shingle, first by sizes, then by the trees of those that are left
+    members = checkpoint(sizes.join(_labels(edges), "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp")))
+    spans = members.groupBy("comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    members = members.drop("n")
     under = shared.select("token", "node").join(members, "node").select("token", "comp").distinct()
-    summaries = checkpoint(_summaries(members, signatures))
-    meet = meetings(under, "token", "comp").join(summaries.select("comp", "low", "high"), "comp")
+    meet = meetings(under, "token", "comp").join(spans, "comp")
     meet = meet.groupBy("token", "i", "j").agg(F.collect_set(F.struct("comp", "low", "high")).alias("comps"))
-    buckets = _by_size(meet.filter(F.size("comps") > 1).select("comps"), percent)
+    buckets = checkpoint(_by_size(meet.filter(F.size("comps") > 1).select("comps"), percent))
+    close = checkpoint(members.join(buckets.select("comp").distinct(), "comp", "left_semi"))
+    summaries = checkpoint(_summaries(close, signatures(close.select("node"))))
     near = checkpoint(_walked(buckets, summaries, percent))
     face = checkpoint(member_meetings(near.join(members, "comp")))
     missing = checkpoint(face.select("node").distinct().join(sets.select("node"), "node", "left_anti"))
