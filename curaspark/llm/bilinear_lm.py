@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curaspark.llm.common import Memo, per_batch
+from curaspark.llm.common import Memo, per_batch, slices
 from curaspark.session import checkpoint
 
 #: Words with exact counts on every executor, words of the model, classes of other words, and numbers in a vector.
@@ -34,7 +34,7 @@ FREQUENT, WORDS, CLASSES, DIM = 65_536, 4096, 64, 24
 NEAR_WORDS = 31
 NEAR_CLASSES = 32
 #: A batch of texts reports a word for the list of frequent ones from so many occurrences on.
-OFTEN = 8
+OFTEN = 4
 #: Tokens of a step, noise words of a step, step size, and squared gradients that a row starts with.
 STEP_TOKENS, NOISE, RATE, POWER = 1024, 100, 0.05, 1e-5
 SMOOTH = 0.1
@@ -195,7 +195,7 @@ def frequent_words(rows: DataFrame) -> list[tuple[bytes, int]]:
         often = [(w, n) for w, n in count.items() if n >= OFTEN]
         return [[w for w, _ in often], [n for _, n in often]]
 
-    some = per_batch(rows.select("text", "held"), make, "word binary, n bigint")
+    some = per_batch(rows.select("text", "held"), make, "word binary, n bigint", 4000)
     top = some.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT)
     return [(bytes(r["word"]), r["n"]) for r in top.collect()]
 
@@ -214,7 +214,7 @@ def train(rows: DataFrame, frequent: list[tuple[bytes, int]]) -> tuple[Model, np
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, trainer = Codes(words.value), Trainer(start)
         counts, n, texts = np.zeros(FREQUENT, np.int64), 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             kept = [tokens(t) for t, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not held]
             if not kept:
                 continue
