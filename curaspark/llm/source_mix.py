@@ -2,7 +2,8 @@
 
 Targets are filled like water: sources share all words by weight, none gets more than ``most`` times its own size,
 and what is left over is shared again. A source is cut into blocks by a hash of its rows; each pass over a source
-draws its blocks in a permuted order until the target is met, the last block cut at a row. A splitting tree
+draws its blocks in a permuted order until the target is met; of the last block, and then of what is left of the
+source, single rows are taken while they fit. A splitting tree
 deals the drawn blocks out: every node draws, without replacement, how many blocks of each source go to its left
 half of the output shards, down to single shards. A shard takes the next blocks of each source's permuted order, so
 shards are disjoint, and shuffles its rows locally.
@@ -128,21 +129,69 @@ def dealt(drawn: DataFrame, shards: int) -> DataFrame:
 
 
 def _cut_rows(rows: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(idx, block, pass, u): of each block drawn in part, the rows that are taken.
+    """(idx, block, pass, u): the rows that complete the last pass over each source.
 
-    In the order of their hashes rows are taken while they fit, then the one row whose size is nearest to what is still
-    wanted; rows alike go together. Only rows of such blocks - one block per source - meet.
+    In the order of their hashes the rows of the block drawn in part are taken where they fit; those that do not are
+    passed over. What is then still wanted comes from all rows the pass has not drawn, long ones first, until no row
+    fits, and last from the shortest row if that is nearer to the target. Rows alike go together. Rows meet by block
+    (one block per source), else only numbers for every size are gathered.
     """
-    cut = drawn.filter("part is not null").select("idx", "block", "pass", "part")
-    some = rows.join(cut, ["idx", "block"]).groupBy("idx", "block", "pass", "u").agg(F.sum("size").alias("size"), F.first("part").alias("part"))
-    block = Window.partitionBy("idx", "block", "pass")
-    some = some.withColumn("end", F.sum("size").over(block.orderBy("u").rowsBetween(Window.unboundedPreceding, 0)))
-    some = some.withColumn("fits", F.col("end") <= F.col("part"))
-    wanted = F.col("part") - F.coalesce(F.max(F.when(F.col("fits"), F.col("end"))).over(block), F.lit(0))
-    some = some.withColumn("wanted", wanted).withColumn("off", F.abs(F.col("size") - F.col("wanted")))
-    nearest = F.row_number().over(block.orderBy("fits", "off", "u"))
-    some = some.withColumn("nearest", nearest)
-    return some.filter("fits or nearest = 1 and off < wanted").select("idx", "block", "pass", "u")
+    keys = ["idx", "block", "pass"]
+    cut = drawn.filter("part is not null").select(*keys, "part")
+    some = rows.join(broadcast_if_small(cut), ["idx", "block"]).groupBy(*keys, "u").agg(F.sum("size").alias("size"), F.first("part").alias("part"))
+    filled = some.filter("size > 0").groupBy(keys).agg(F.first("part").alias("part"), F.sort_array(F.collect_list(F.struct("u", "size"))).alias("r"))
+
+    def fit(columns: list[list]) -> list[list]:
+        taken, left = [], []
+        for part, block in zip(columns[3], columns[4]):
+            taken.append([])
+            for r in block:
+                if r["size"] <= part:
+                    part -= r["size"]
+                    taken[-1].append(r["u"])
+            left.append(part)
+        return [*columns[:3], taken, left]
+
+    chosen = checkpoint(per_batch(filled, fit, f"{_kinds(filled, keys)}, us array<bigint>, left double"))
+    inside = chosen.select(*keys, F.explode("us").alias("u"))
+    empty = some.filter("size = 0").select(*keys, "u")
+
+    # what the pass has not drawn yet; rows longer than twice what is wanted bring no total nearer to the target
+    rest = broadcast_if_small(chosen.filter("left > 0").select("idx", "pass", "left"))
+    whole = drawn.filter("part is null").select("idx", "block", "pass")
+    other = rows.filter("size > 0").join(rest, "idx").groupBy(*keys, "u", "left").agg(F.sum("size").alias("size")).filter("size < 2 * left")
+    other = checkpoint(other.join(whole, keys, "left_anti").join(inside, [*keys, "u"], "left_anti"))
+    sizes = other.groupBy("idx", "left", "size").count().groupBy("idx", "left").agg(F.sort_array(F.collect_list(F.struct("size", "count")), False).alias("s"))
+
+    def complete(columns: list[list]) -> list[list]:
+        out: list[list] = [[], [], []]
+        for idx, left, known in zip(*columns):
+            wanted, spare = {}, None
+            for x in known:
+                n = min(x["count"], int(left // x["size"]))
+                left -= n * x["size"]
+                wanted[x["size"]] = n
+                spare = x["size"] if n < x["count"] else spare
+            if spare is not None and spare < 2 * left:
+                wanted[spare] += 1
+            for size, n in wanted.items():
+                if n:
+                    for c, x in zip(out, (idx, size, n)):
+                        c.append(x)
+        return out
+
+    wanted = checkpoint(per_batch(sizes, complete, f"{_kinds(sizes, ['idx'])}, size bigint, wanted bigint"))
+    counts = other.join(wanted, ["idx", "size"]).groupBy(*keys, "size", "wanted").count()
+    order = Window.partitionBy("idx", "size").orderBy(F.xxhash64("idx", "pass", "block", F.lit(SEED)), "block")
+    before = F.coalesce(F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quotas = counts.withColumn("quota", F.col("wanted") - before).filter("quota > 0").select(*keys, "size", "quota")
+    rank = F.row_number().over(Window.partitionBy(*keys, "size").orderBy("u"))
+    more = other.join(quotas, [*keys, "size"]).withColumn("rank", rank).filter("rank <= quota").select(*keys, "u")
+    return inside.unionByName(empty).unionByName(more)
+
+
+def _kinds(rows: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
 
 
 class Mix:
@@ -161,8 +210,9 @@ class Mix:
         self.shards = max(1, int(-(-total // shard_words)))
         draws = checkpoint(drawn.join(dealt(drawn, self.shards), ["idx", "seq"]))
         self.whole = draws.filter("part is null").select("idx", "block", "pass", "shard")
-        part = draws.filter("part is not null").select("idx", "block", "pass", "shard")
-        self.cut = checkpoint(_cut_rows(self.rows, drawn).join(part, ["idx", "block", "pass"]))
+        # one block per source is drawn in part; the rows that complete its pass go to that block's shard
+        part = draws.filter("part is not null").select("idx", "pass", "shard")
+        self.cut = checkpoint(_cut_rows(self.rows, drawn).join(part, ["idx", "pass"]))
 
     def taken(self) -> DataFrame:
         """(ident, size, source_size, target, taken): the words that the mix takes of every row."""

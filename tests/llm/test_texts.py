@@ -190,6 +190,20 @@ def test_mix_meets_targets(spark):
     assert out.select(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != "")))).first()[0] == sum(taken.values())
 
 
+@pytest.mark.parametrize("block", [20_000, 500])
+def test_long_documents_do_not_keep_a_mix_from_its_target(spark, block):
+    rows = [(s * 100 + i, "w " * (8000 if i == 40 else 300), f"s{s:02}") for s in range(30) for i in range(41)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken, target = Counter(), {}
+    for r in source_mix.mix_table(docs, weights=(3, 1, 2), block_words=block).collect():
+        taken[r.doc_id // 100] += r.taken
+        target[r.doc_id // 100] = r.target
+    # half of the words of every third source are wanted; documents of 300 words are left for the remainder
+    assert all(abs(taken[s] - t) <= 150 for s, t in target.items())
+    out = source_mix.mixed(docs, weights=(3, 1, 2), block_words=block)
+    assert out.select(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0] == sum(taken.values())
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([100, 37, 0, 5])
     leaves = [source_mix.split_path(quotas, s, 7) for s in range(7)]
