@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curaspark.llm import bpe_count, bilinear_lm, hamming_index, line_quality, passage_chains, piece_codec, reply_trees, signature_join, source_mix, toxicity
+from curaspark.llm import bpe_count, bilinear_lm, hamming_index, line_quality, passage_chains, piece_codec, plane_resampling, reply_trees, signature_join, source_mix, toxicity
 from curaspark.llm.twins import ORACLES
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -70,6 +70,11 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.mix_table(table(spark, folder, "documents"))
 
 
+def op11_plane_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = plane_resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_piece_codec": op2_piece_codec,
@@ -81,5 +86,6 @@ QUERIES = {
     "op8_bilinear_lm": op8_bilinear_lm,
     "op9_hamming_index": op9_hamming_index,
     "op10_source_mix": op10_source_mix,
+    "op11_plane_resampling": op11_plane_resampling,
     "pipeline": corpus_pipeline.run,
 }

@@ -62,4 +62,50 @@ WITH turns AS (
 SELECT conv_id, n_turns, turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM said
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": _JACCARD, "op7_reply_trees": _CHAT, "op9_hamming_index": _VECTORS}
+def _crc(source: str, column: str) -> str:
+    """Recursive tables that give (k, crc) of the texts in ``column`` of ``source``: a step takes one byte off, in eight shifts."""
+    bit = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END"
+    shifts = "SELECT k, rest, {c} AS c FROM ({inner})"
+    inner = "SELECT k, rest[3:] AS rest, xor(c, ('0x' || rest[1:2])::UBIGINT) AS c FROM crc_walk WHERE rest <> ''"
+    for _ in range(8):
+        inner = shifts.format(c=bit, inner=inner)
+    return f"""crc_walk(k, rest, c) AS (
+  SELECT {column}, hex(encode({column})), 4294967295::UBIGINT FROM {source} UNION ALL {inner}
+), crcs AS (SELECT k, xor(c, 4294967295::UBIGINT) AS crc FROM crc_walk WHERE rest = '')"""
+
+
+_RESAMPLING = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS row_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM documents
+), b AS (
+  SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS k
+  FROM benchmark
+), u AS (SELECT row_id, unnest(words) AS k FROM w),
+known AS (SELECT k FROM u UNION SELECT k FROM b),
+{_crc("known", "k")},
+buckets AS (SELECT k, (crc % 10000)::BIGINT AS bucket FROM crcs),
+sd AS (SELECT bucket, count(*) AS s FROM u JOIN buckets USING (k) GROUP BY bucket),
+td AS (SELECT bucket, count(*) AS t FROM b JOIN buckets USING (k) GROUP BY bucket),
+gain AS (
+  SELECT i.range AS bucket, floor(1000.0 * ln(((coalesce(t, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(s), 0) FROM sd)::DOUBLE + 10000))
+    / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM td)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM range(10000) i LEFT JOIN sd ON sd.bucket = i.range LEFT JOIN td ON td.bucket = i.range
+), sums AS (SELECT row_id, sum(gain)::BIGINT AS total FROM u JOIN buckets USING (k) JOIN gain USING (bucket) GROUP BY row_id),
+scored AS (
+  SELECT doc_id, row_id, len(words)::BIGINT AS n_features, CASE WHEN len(words) = 0 THEN 0 ELSE (total - ((total % len(words)) + len(words)) % len(words)) // len(words) END::BIGINT AS weight,
+    floor(-1000.0 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::UBIGINT::DOUBLE + 0.5) / 4294967296.0)))::BIGINT AS noise
+  FROM w LEFT JOIN sums USING (row_id)
+), placed AS (
+  SELECT *, weight + noise AS score, n_features >= 20 AS fit,
+    row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST, n_features) AS place,
+    10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS draw
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= draw THEN place END::BIGINT AS rank FROM placed
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": _JACCARD, "op7_reply_trees": _CHAT, "op9_hamming_index": _VECTORS, "op11_plane_resampling": _RESAMPLING,
+}
