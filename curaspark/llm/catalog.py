@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curaspark.llm import bpe_count, bilinear_lm, hamming_index, line_quality, passage_chains, piece_codec, plane_resampling, reply_trees, signature_join, source_mix, toxicity
+from curaspark.llm import bpe_count, bilinear_lm, byte_codec, hamming_index, line_quality, passage_chains, piece_codec, plane_resampling, reply_trees, signature_join, source_mix, toxicity
 from curaspark.llm.twins import ORACLES
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +76,10 @@ def op11_plane_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_byte_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_codec.digests(table(spark, folder, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_piece_codec": op2_piece_codec,
@@ -87,5 +92,6 @@ QUERIES = {
     "op9_hamming_index": op9_hamming_index,
     "op10_source_mix": op10_source_mix,
     "op11_plane_resampling": op11_plane_resampling,
+    "op13_byte_codec": op13_byte_codec,
     "pipeline": corpus_pipeline.run,
 }
