@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curaspark.llm import bpe_count, bilinear_lm, byte_codec, hamming_index, line_quality, passage_chains, piece_codec, plane_resampling, reply_trees, signature_join, source_mix, toxicity
+from curaspark.llm import bpe_count, bilinear_lm, byte_codec, hamming_index, line_quality, passage_chains, piece_codec, plane_resampling, prefix_trie, reply_trees, signature_join, source_mix, toxicity
 from curaspark.llm.twins import ORACLES
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -76,6 +76,19 @@ def op11_plane_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    own = prefix_trie.turn_lists(table(spark, folder, "conversations"))
+    base = own.select(F.col("conv").alias("base"), F.col("turns").alias("base_turns"))
+    head = (F.crc32(F.col("conv").cast("string").cast("binary")) % 9).cast("int")
+    rebuilt = own.withColumn("base", F.col("conv") - F.col("conv") % 5).join(base, "base", "left").select(
+        "conv",
+        F.concat(
+            F.coalesce(F.slice("base_turns", 1, head), F.slice("turns", 1, 0)), F.slice("turns", head + 1, F.size("turns"))
+        ).alias("turns"),
+    )
+    return prefix_trie.nodes(rebuilt).drop("prefix")
+
+
 def op13_byte_codec(spark: SparkSession, folder: str) -> DataFrame:
     return byte_codec.digests(table(spark, folder, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
@@ -92,6 +105,7 @@ QUERIES = {
     "op9_hamming_index": op9_hamming_index,
     "op10_source_mix": op10_source_mix,
     "op11_plane_resampling": op11_plane_resampling,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_byte_codec": op13_byte_codec,
     "pipeline": corpus_pipeline.run,
 }

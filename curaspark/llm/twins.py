@@ -106,6 +106,37 @@ scored AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= draw THEN place END::BIGINT AS rank FROM placed
 """
 
+_TRIE = f"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS place, role, text FROM said
+), ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS k FROM own),
+{_crc("ids", "k")},
+conv AS (SELECT conv_id, conv_id - conv_id % 5 AS base, (crc % 9)::BIGINT AS h FROM ids JOIN crcs USING (k)),
+rebuilt AS (
+  SELECT c.conv_id, o.place, 0 AS part, o.role, o.text FROM conv c JOIN own o ON o.conv_id = c.base AND o.place <= c.h
+  UNION ALL SELECT c.conv_id, o.place, 1, o.role, o.text FROM conv c JOIN own o ON o.conv_id = c.conv_id AND o.place > c.h
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS d, length(role) || ':' || role || text AS t, strlen(text) AS bytes FROM rebuilt
+), chain AS (
+  SELECT conv_id, 0::BIGINT AS d, '' AS prefix, ''::VARCHAR AS up, 0::BIGINT AS bytes FROM conv
+  UNION ALL SELECT c.conv_id, t.d, md5(c.prefix || md5(t.t)), c.prefix, t.bytes FROM chain c JOIN turns t ON t.conv_id = c.conv_id AND t.d = c.d + 1
+), node AS (
+  SELECT prefix, any_value(d) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes FROM chain GROUP BY prefix
+), lens AS (SELECT conv_id, max(d) AS d FROM chain GROUP BY conv_id),
+ends AS (SELECT prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM chain JOIN lens USING (conv_id, d) GROUP BY prefix),
+kids AS (SELECT up AS prefix, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY up),
+-- a node's smallest member passes all nodes above it
+above AS (SELECT c.prefix, x.prefix AS leaf, (x.n - 1) * x.bytes AS saved, k.n_children IS NULL AS childless
+  FROM node x LEFT JOIN kids k ON k.prefix = x.prefix JOIN chain c ON c.conv_id = x.conv_id AND c.d <= x.depth),
+under AS (SELECT prefix, count(*) FILTER (childless) AS n_leaves, sum(saved) AS saved FROM above GROUP BY prefix)
+SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN under USING (prefix) LEFT JOIN kids USING (prefix) LEFT JOIN ends USING (prefix) LEFT JOIN node p ON p.prefix = node.up AND node.depth > 0
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": _JACCARD, "op7_reply_trees": _CHAT, "op9_hamming_index": _VECTORS, "op11_plane_resampling": _RESAMPLING,
+    "op12_prefix_trie": _TRIE,
 }
