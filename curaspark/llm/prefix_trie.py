@@ -124,7 +124,7 @@ def two_fattest(low: str, high: str) -> Column:
 
 def at(path: str, depth: str) -> Column:
     """Digest of the prefix of length ``depth`` (1 at least)."""
-    return F.col(path)[F.col(depth) - 1]["digest"]
+    return F.get(path, F.col(depth) - 1)["digest"]
 
 
 def exits(waiting: DataFrame, edges: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def exits(waiting: DataFrame, edges: DataFrame) -> DataFrame:
     """
     handles = checkpoint(
         edges.withColumn("fat", two_fattest("top", "depth")).select(
-            F.col("path")[F.col("fat") - F.col("top") - 1]["digest"].alias("handle"), F.col("top").alias("h_top"), F.col("depth").alias("h_depth"), F.col("key").alias("h_key")
+            F.get("path", F.col("fat") - F.col("top") - 1)["digest"].alias("handle"), F.col("top").alias("h_top"), F.col("depth").alias("h_depth"), F.col("key").alias("h_key")
         )
     )
     state = waiting.select("path_key", "path", "length", "above", F.col("length").alias("right"))
@@ -160,10 +160,10 @@ def exits(waiting: DataFrame, edges: DataFrame) -> DataFrame:
             )
         )
     below = edges.select(
-        F.col("path")[0]["digest"].alias("name"), F.col("key").alias("edge"), F.col("top").alias("edge_top"), F.col("depth").alias("edge_depth"),
+        F.get("path", F.lit(0))["digest"].alias("name"), F.col("key").alias("edge"), F.col("top").alias("edge_top"), F.col("depth").alias("edge_depth"),
         F.col("path").alias("edge_path"),
     )
-    asked = settled.withColumn("ask", F.when(F.col("above") < F.col("length"), F.col("path")[F.col("above")]["digest"]))
+    asked = settled.withColumn("ask", F.when(F.col("above") < F.col("length"), F.get("path", F.col("above"))["digest"]))
     met = lookup(asked, below, "ask", "name")
     own = F.slice("path", F.col("above") + 1, F.size("edge_path"))
     same = F.filter(F.zip_with("edge_path", own, lambda x, y: F.coalesce(x["digest"] == y["digest"], F.lit(False))), lambda x: x)
@@ -181,9 +181,9 @@ def cut(edges: DataFrame, places: DataFrame) -> DataFrame:
         "key", "up", "top", "path", "base", F.posexplode(F.arrays_zip(F.concat(F.array("top"), F.coalesce("cuts", F.array().cast("array<int>"))).alias("a"), stops.alias("b"))).alias("n", "p")
     )
     first = F.col("p.a") == F.col("top")
-    before = F.col("path")[F.col("p.a") - F.col("top") - 1]
+    before = F.get("path", F.col("p.a") - F.col("top") - 1)
     return pieces.select(
-        F.col("path")[F.col("p.b") - F.col("top") - 1]["digest"].alias("key"), F.when(first, F.col("up")).otherwise(before["digest"]).alias("up"),
+        F.get("path", F.col("p.b") - F.col("top") - 1)["digest"].alias("key"), F.when(first, F.col("up")).otherwise(before["digest"]).alias("up"),
         F.col("p.a").alias("top"), F.col("p.b").alias("depth"),
         F.slice("path", F.col("p.a") - F.col("top") + 1, F.col("p.b") - F.col("p.a")).alias("path"),
         F.when(first, F.col("base")).otherwise(before["bytes"]).alias("base"),
@@ -193,7 +193,7 @@ def cut(edges: DataFrame, places: DataFrame) -> DataFrame:
 def new_edges(chosen: DataFrame) -> DataFrame:
     """One edge for the rest of every path (path, length, reach)."""
     inside = F.col("reach") > 0
-    before = F.col("path")[F.when(inside, F.col("reach") - 1).otherwise(0)]
+    before = F.get("path", F.col("reach") - 1)
     return chosen.select(
         at("path", "length").alias("key"), F.when(inside, before["digest"]).otherwise(F.lit(ROOT)).alias("up"), F.col("reach").alias("top"),
         F.col("length").alias("depth"), F.slice("path", F.col("reach") + 1, F.col("length") - F.col("reach")).alias("path"),
@@ -215,7 +215,7 @@ def build(paths: DataFrame) -> DataFrame:
             placed = checkpoint(waiting.select("path_key", "path", "length", *nothing))
         else:
             placed = checkpoint(exits(waiting, edges))
-        leaving = placed.filter("reach < length").withColumn("turn_off", F.col("path")[F.col("reach")]["digest"])
+        leaving = placed.filter("reach < length").withColumn("turn_off", F.get("path", F.col("reach"))["digest"])
         chosen = leaving.groupBy("turn_off").agg(F.min(F.struct(F.xxhash64("path_key"), "path_key")).alias("c")).select(F.col("c.path_key").alias("path_key"))
         chosen = checkpoint(chosen)
         added = new_edges(leaving.join(chosen, "path_key", "left_semi"))
@@ -336,12 +336,12 @@ def nodes(conversations: DataFrame) -> DataFrame:
     (prefix, conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256): ``conv_id`` is the smallest
     conversation with this prefix, ``saved_tokens`` the bytes of text that need not be kept again below and at the node.
     """
-    placed = checkpoint(prefixes(conversations).withColumn("key", F.coalesce(F.element_at(F.col("path"), -1)["digest"], F.lit(ROOT))))
+    placed = checkpoint(prefixes(conversations).withColumn("key", F.coalesce(F.get("path", F.size("path") - 1)["digest"], F.lit(ROOT))))
     ends = checkpoint(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n_own"), F.min("conv").alias("first_own")))
     distinct = placed.filter(F.size("path") > 0).groupBy(F.col("key").alias("path_key")).agg(F.first("path").alias("path"))
     edges = build(checkpoint(distinct))
 
-    bottom = F.element_at(F.col("path"), -1)["bytes"]
+    bottom = F.get("path", F.size("path") - 1)["bytes"]
     # one edge above the root, of no length, if there is any conversation
     root = placed.limit(1).select(
         F.lit(ROOT).alias("key"), F.lit(None).cast("binary").alias("up"), F.lit(-1).alias("top"), F.lit(0).alias("depth"),
@@ -364,7 +364,7 @@ def nodes(conversations: DataFrame) -> DataFrame:
     full = full.join(member_digests(placed.select("key", "conv")).withColumnRenamed("key", "_end"), F.col("key") == F.col("_end"), "left")
 
     step = F.transform(
-        "path", lambda x, i: F.struct(x["digest"].alias("prefix"), i.alias("i"), F.when(i > 0, F.col("path")[F.greatest(i - 1, F.lit(0))]["bytes"]).otherwise(F.col("base")).alias("before"))
+        "path", lambda x, i: F.struct(x["digest"].alias("prefix"), i.alias("i"), F.when(i > 0, F.get("path", i - 1)["bytes"]).otherwise(F.col("base")).alias("before"))
     )
     rows = full.withColumn("s", F.explode(step)).withColumn("at_end", F.col("s.i") == F.size("path") - 1)
     # bytes of all members from here on, less what one copy of every node here and below takes
