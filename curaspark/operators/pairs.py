@@ -11,30 +11,24 @@ form and never build the expanded one.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from curaspark.functions import vec as V
+from curaspark.operators import blocks as B
 from curaspark.session import checkpoint
 
-# Rows per block of a block join: two blocks of 1024-d doubles stay below 40 MB in one task.
-BLOCK_ROWS = 2048
-MAX_CELLS = 256
-
 
 @dataclass(frozen=True)
 class PairSet:
-    """members(id, cls) · classes(cls, n, self_score) · pairs(c, d, score) with c < d."""
+    """members(id, cls) · classes(cls, n, self_score) · pairs(c, d, score) with c < d · sizes: work of a block join."""
 
     members: DataFrame
     classes: DataFrame
     pairs: DataFrame
+    sizes: DataFrame | None = None
 
     def rows(self) -> DataFrame:
         """One row per pair of classes plus one row (i = j) per class holding similar copies."""
@@ -50,6 +44,11 @@ class PairSet:
         )
         return between.unionByName(within)
 
+    def compared(self) -> float:
+        """Share of all pairs of classes that a block join compared; the bounds ruled the others out."""
+        n = self.classes.count()
+        return B.compared_pairs(self.sizes) / max(1, n * (n - 1) // 2)
+
     def adjacency(self) -> DataFrame:
         """Both directions of every class pair plus the self edge of self-similar classes: (cls, d, score)."""
         forward = self.pairs.select(F.col("c").alias("cls"), "d", "score")
@@ -84,166 +83,19 @@ def _classes(df: DataFrame, ident: str, payload: list[str], key: Column, self_sc
     return members, classes.drop("_key")
 
 
-# --------------------------------------------------------------------------- block kernels
-
-
-def _dot_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(a @ b.T, 9)
-
-
-def _l1_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    for start in range(0, len(a), 16):
-        out[start : start + 16] = np.abs(a[start : start + 16, None, :] - b[None, :, :]).sum(axis=2) / 2.0
-    return np.round(out, 9)
-
-
-def _color_kernel(limit: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Sum of truncated cell differences where the run test holds, infinity elsewhere."""
-
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        cells = a.shape[1] // 3
-        needed = cells // 2
-        left = a.reshape(len(a), cells, 3)
-        right = b.reshape(len(b), cells, 3)
-        out = np.full((len(a), len(b)), np.inf)
-        for row in range(len(left)):
-            diff = np.sqrt(((right - left[row]) ** 2).sum(axis=2)).astype(int)
-            hit = diff < limit
-            linked = hit[:, 1:] & hit[:, :-1]
-            runs = (linked & (1 + linked.cumsum(axis=1) > V.RUN_LENGTH)).sum(axis=1)
-            ok = (1 + hit.sum(axis=1) > needed) & (runs > V.RUN_COUNT)
-            out[row, ok] = diff.sum(axis=1)[ok]
-        return out
-
-    return kernel
-
-
-def _block_join(
-    items: DataFrame, kernel, keep, radius: float | None = None, metric: str = "l2", block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """All pairs (c, d, score) of ``items`` (cls, vec) with ``keep(kernel(...))``, each once, c < d.
-
-    ``radius`` is the largest distance a kept pair can have. Items go to the cell of their nearest
-    pivot; an item also visits each lower-numbered cell whose pivot is no more than 2·radius
-    farther away, which by the triangle inequality covers every pair exactly once. Cells of any
-    size are cut into blocks, and one task handles two blocks.
-    """
-    ident = items.schema["cls"].dataType
-    spark = items.sparkSession
-    total = items.count()
-    cells = 1 if radius is None else int(min(MAX_CELLS, max(1, total // (4 * block_rows))))
-    pivots = None
-    if cells > 1:
-        picked = items.orderBy(F.xxhash64("cls")).limit(cells).select("vec").collect()  # at most MAX_CELLS rows
-        pivots = np.array([r["vec"] for r in picked], dtype=float)
-
-    placed_schema = T.StructType(
-        [
-            T.StructField("cls", ident),
-            T.StructField("vec", T.ArrayType(T.DoubleType())),
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("home", T.BooleanType()),
-        ]
-    )
-
-    if pivots is None:
-        placed = items.select(
-            "cls", F.col("vec").cast("array<double>").alias("vec"), F.lit(0).alias("cell"), F.lit(True).alias("home")
-        )
-    else:
-
-        def place(batches):
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x = np.stack(pdf["vec"].to_numpy()).astype(float)
-                if metric == "l1":
-                    dist = np.stack([np.abs(x - p).sum(axis=1) / 2.0 for p in pivots], axis=1)
-                else:
-                    sq = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T
-                    dist = np.sqrt(np.maximum(sq, 0.0))
-                home = dist.argmin(axis=1)
-                near = dist <= dist.min(axis=1)[:, None] + 2 * radius + 1e-6
-                visits = near & (np.arange(dist.shape[1])[None, :] < home[:, None])
-                rows, targets = np.nonzero(visits)
-                take = np.concatenate([np.arange(len(x)), rows])
-                yield pd.DataFrame(
-                    {
-                        "cls": pdf["cls"].to_numpy()[take],
-                        "vec": [x[t] for t in take],
-                        "cell": np.concatenate([home, targets]).astype("int32"),
-                        "home": np.concatenate([np.ones(len(x), bool), np.zeros(len(rows), bool)]),
-                    }
-                )
-
-        placed = items.select("cls", "vec").mapInPandas(place, placed_schema)
-
-    sizes = placed.groupBy("cell").agg(
-        F.sum(F.col("home").cast("long")).alias("_h"), F.sum((~F.col("home")).cast("long")).alias("_v")
-    )
-    blocks = [
-        (r["cell"], math.ceil(r["_h"] / block_rows), math.ceil(r["_v"] / block_rows))
-        for r in sizes.collect()  # at most MAX_CELLS rows
-        if r["_h"]
-    ]
-    block_df = spark.createDataFrame(blocks or [(0, 1, 0)], "cell int, nh int, nv int")
-    own = F.when(F.col("home"), F.col("nh")).otherwise(F.col("nv"))
-    dealt = placed.join(F.broadcast(block_df), "cell").withColumn(
-        "blk", F.pmod(F.xxhash64("cls"), own.cast("long")).cast("int")
-    )
-
-    def span(n: str) -> Column:
-        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-
-    def task(kind: str, x: Column, y: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
-
-    home_tasks = F.concat(
-        F.transform(span("nh"), lambda t: task("hh", F.least(F.col("blk"), t), F.greatest(F.col("blk"), t))),
-        F.transform(span("nv"), lambda t: task("hv", F.col("blk"), t)),
-    )
-    visit_tasks = F.transform(span("nh"), lambda t: task("hv", t, F.col("blk")))
-    tasks = dealt.withColumn("_t", F.explode(F.when(F.col("home"), home_tasks).otherwise(visit_tasks))).select(
-        "cls", "vec", "home", "blk", "cell", "_t.kind", "_t.x", "_t.y"
-    )
-    out_schema = T.StructType(
-        [T.StructField("c", ident), T.StructField("d", ident), T.StructField("score", T.DoubleType())]
-    )
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, kind, x, y = key
-        same = kind == "hh" and x == y
-        if kind == "hv":
-            left, right = pdf[pdf["home"]], pdf[~pdf["home"]]
-        elif same:
-            left = right = pdf
-        else:
-            left, right = pdf[pdf["blk"] == x], pdf[pdf["blk"] == y]
-        if left.empty or right.empty:
-            return pd.DataFrame({"c": [], "d": [], "score": []})
-        a = np.stack(left["vec"].to_numpy()).astype(float)
-        b = np.stack(right["vec"].to_numpy()).astype(float)
-        scores = kernel(a, b)
-        mask = keep(scores)
-        if same:
-            mask = np.triu(mask, 1)
-        rows, cols = np.nonzero(mask)
-        one, two = left["cls"].to_numpy()[rows], right["cls"].to_numpy()[cols]
-        swap = one > two
-        return pd.DataFrame(
-            {"c": np.where(swap, two, one), "d": np.where(swap, one, two), "score": scores[rows, cols]}
-        )
-
-    return tasks.groupBy("cell", "kind", "x", "y").applyInPandas(run, out_schema)
+# --------------------------------------------------------------------------- joins
 
 
-# --------------------------------------------------------------------------- joins
+def _joined(members: DataFrame, classes: DataFrame, placed: DataFrame, kernel: B.Kernel, block_rows: int | None) -> PairSet:
+    placed = checkpoint(placed)
+    sizes = checkpoint(B.work(placed))
+    rows = B.block_size(classes.count(), block_rows)
+    # blocks of one size are not cut again because a hash deals unevenly
+    pairs = checkpoint(B.visit_join(placed, sizes, kernel, 2 * rows))
+    return PairSet(members, classes.select("cls", "n", "self_score"), pairs, sizes)
 
 
-def similar_pairs(
-    df: DataFrame, ident: str, vec: str, threshold: float, block_rows: int = BLOCK_ROWS
-) -> PairSet:
+def similar_pairs(df: DataFrame, ident: str, vec: str, threshold: float, block_rows: int | None = None) -> PairSet:
     """Pairs whose dot product is strictly above ``threshold`` (score rounded to 9 places)."""
     if threshold < 0:
         raise ValueError("threshold must not be negative")
@@ -253,34 +105,38 @@ def similar_pairs(
         base, "id", ["vec"], F.col("vec").cast("string"), F.when(own > threshold, own)
     )
     longest = classes.agg(F.max(V.dot("vec", "vec"))).first()[0] or 0.0
+    # |x - y|² = |x|² + |y|² - 2 x·y
     radius = math.sqrt(max(0.0, 2.0 * longest - 2.0 * threshold))
-    pairs = _block_join(
-        classes.select("cls", "vec"), _dot_kernel, lambda s: s > threshold, radius, block_rows=block_rows
-    )
-    return PairSet(members, classes.select("cls", "n", "self_score"), checkpoint(pairs))
+    placed = B.metric_cells(classes.select("cls", "vec"), radius, "l2", block_rows)
+    return _joined(members, classes, placed, B.dot_kernel(threshold), block_rows)
 
 
-def hist_pairs(df: DataFrame, ident: str, hist: str, threshold: float = 0.2, block_rows: int = BLOCK_ROWS) -> PairSet:
+def hist_pairs(df: DataFrame, ident: str, hist: str, threshold: float = 0.2, block_rows: int | None = None) -> PairSet:
     """Pairs of histograms whose half L1 distance is at most ``threshold``; lower is closer."""
     base = df.filter(F.col(hist).isNotNull()).select(F.col(ident).alias("id"), F.col(hist).alias("vec"))
     members, classes = _classes(base, "id", ["vec"], F.col("vec").cast("string"), F.lit(0.0))
-    pairs = _block_join(
-        classes.select("cls", "vec"), _l1_kernel, lambda s: s <= threshold, threshold, "l1", block_rows
-    )
-    return PairSet(members, classes.select("cls", "n", "self_score"), checkpoint(pairs))
+    placed = B.metric_cells(classes.select("cls", "vec"), threshold, "l1", block_rows)
+    return _joined(members, classes, placed, B.l1_kernel(threshold), block_rows)
 
 
-def color_pairs(df: DataFrame, ident: str, lab: str, threshold: float = 15, block_rows: int = BLOCK_ROWS) -> PairSet:
-    """Pairs of colour signatures (flat l,a,b,l,a,b… arrays) that pass the run test; score Σ ΔE."""
+def color_pairs(df: DataFrame, ident: str, lab: str, threshold: float = 15, block_rows: int | None = None) -> PairSet:
+    """Pairs of colour signatures (flat l,a,b,l,a,b… arrays, one length) that pass the run test; score Σ ΔE.
+
+    The run test of ``functions.vec.run_test`` comes to two counts: matching cells, and matching cells that follow
+    another one. Both need a number of equal cells, so signatures are looked up by quantised cells.
+    """
     base = df.filter(F.col(lab).isNotNull()).select(F.col(ident).alias("id"), F.col(lab).alias("vec"))
     cells = F.floor(F.size("vec") / 3)
+    linked = V.RUN_LENGTH + V.RUN_COUNT
     # identical signatures match in every cell, so they pass exactly when the run test can be passed
-    alike = (cells + 1 > F.floor(cells / 2)) & (cells - V.RUN_LENGTH > V.RUN_COUNT - 0)
+    alike = (cells + 1 > F.floor(cells / 2)) & (cells > linked)
     members, classes = _classes(
         base, "id", ["vec"], F.col("vec").cast("string"), F.when(alike & F.lit(threshold > 0), F.lit(0.0))
     )
-    pairs = _block_join(classes.select("cls", "vec"), _color_kernel(threshold), np.isfinite, block_rows=block_rows)
-    return PairSet(members, classes.select("cls", "n", "self_score"), checkpoint(pairs))
+    one = classes.first()
+    matches = max((len(one["vec"]) // 3) // 2 if one is not None else 0, linked + 1)
+    placed, chosen = B.pigeonhole_cells(classes.select("cls", "vec"), float(max(1, math.ceil(threshold))), matches)
+    return _joined(members, classes, placed, B.color_kernel(threshold, matches, linked, chosen), block_rows)
 
 
 # Sets whose two-token prefix is longer than this are indexed by single tokens.
