@@ -135,7 +135,12 @@ def color_pairs(df: DataFrame, ident: str, lab: str, threshold: float = 15, bloc
     )
     one = classes.first()
     matches = max((len(one["vec"]) // 3) // 2 if one is not None else 0, linked + 1)
-    placed, chosen = B.pigeonhole_cells(classes.select("cls", "vec"), float(max(1, math.ceil(threshold))), matches)
+    items = classes.select("cls", "vec")
+    placed, chosen = B.pigeonhole_cells(items, float(max(1, math.ceil(threshold))), matches)
+    # a pair may meet in many places: where signatures crowd in few grid cells, comparing every pair once is less work
+    placed, n = checkpoint(placed), classes.count()
+    if chosen and B.compared_pairs(B.work(placed)) > n * (n - 1) // 2:
+        placed, chosen = B.all_blocks(items, B.block_size(n, block_rows)), None
     return _joined(members, classes, placed, B.color_kernel(threshold, matches, linked, chosen), block_rows)
 
 
