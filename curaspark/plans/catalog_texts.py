@@ -22,9 +22,8 @@ def _doc(spark, folder) -> DataFrame:
 
 
 def _turns(spark, folder) -> DataFrame:
-    """Every conversation turn next to the following turn. Letters outside ASCII become '?', because
-    the SQL twins measure edit distances in bytes."""
-    conv = table(spark, folder, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    """Every conversation turn next to the following turn."""
+    conv = table(spark, folder, "conversations").select("conv_id", "turn", "text")
     nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
     # a turn of a long conversation must not drag the whole conversation into one task
     return spread(conv.join(nxt, ["conv_id", "turn"]).withColumn("turn_key", F.concat_ws("/", "conv_id", "turn")), "turn_key").drop("turn_key")
@@ -49,14 +48,13 @@ def text_duplicates(spark, folder):
 
 
 def text_search(spark, folder):
-    doc = _doc(spark, folder).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
-    out = S.search_text_exact(doc, "doc_id", "text", "source", ["license", "hand"], ["zebra"], 0.85, None)
+    out = S.search_text_exact(_doc(spark, folder), "doc_id", "text", "source", ["license", "hand"], ["zebra"], 0.85, None)
     return out.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def text_similarity(spark, folder):
-    """Whole text score, without the fuzzy stage, of a turn and the next one."""
-    return _turns(spark, folder).select("conv_id", "turn", F.round(X.text_similarity("text", "next_text", fuzzy=False), 6).alias("score"))
+    """Whole text score of a turn and the next one."""
+    return _turns(spark, folder).select("conv_id", "turn", F.round(X.text_similarity("text", "next_text"), 6).alias("score"))
 
 
 def fuzzy_words(spark, folder):
@@ -69,9 +67,9 @@ def edit_distance(spark, folder):
 
 
 def related_turns(spark, folder):
-    """Whether a turn and the next are related as prompts (no negative side)."""
-    none = F.lit(None).cast("string")
-    rel = R.is_related("prompts", {"pos": F.col("text"), "neg": none}, {"pos": F.col("next_text"), "neg": none})
+    """Whether a turn and the next are related as prompts; the turns of a conversation share their negative side."""
+    neg = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))
+    rel = R.is_related("prompts", {"pos": F.col("text"), "neg": neg}, {"pos": F.col("next_text"), "neg": neg})
     return _turns(spark, folder).select("conv_id", "turn", rel.cast("int").alias("related"))
 
 
@@ -235,13 +233,26 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
+# DuckDB measures edit distances in bytes: for them every letter outside ASCII is exchanged for a control code of its own
+_CODES = "||".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)])
+
+
+def _alphabet(source: str, text: str) -> str:
+    return f"""alphabet AS (SELECT string_agg(c, '' ORDER BY c) AS letters FROM (
+  SELECT DISTINCT unnest(list_concat(string_split({text}, ''), string_split(lower({text}), ''))) AS c FROM {source}) WHERE ord(c) > 127)"""
+
+
+def _letters(t: str) -> str:
+    return f"translate({t}, (SELECT coalesce(letters, '') FROM alphabet), {_CODES})"
+
+
 def _strip(t: str) -> str:
     return f"regexp_replace({t}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
 
-_TURNS = """plain AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM conversations),
+_TURNS = f"""{_alphabet('conversations', 'text')},
 turns AS (
-  SELECT a.conv_id, a.turn, a.text AS ta, b.text AS tb FROM plain a JOIN plain b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),"""
+  SELECT a.conv_id, a.turn, a.text AS ta, b.text AS tb FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),"""
 
 
 def _words(src: str, key: str, text: str) -> str:
@@ -259,8 +270,20 @@ cnt AS (
   SELECT l.*, (SELECT count(*) FROM ea WHERE ea.conv_id = l.conv_id AND ea.turn = l.turn) AS na,
     (SELECT count(*) FROM eb WHERE eb.conv_id = l.conv_id AND eb.turn = l.turn) AS nb,
     (SELECT count(*) FROM ea JOIN eb USING (conv_id, turn, e) WHERE ea.conv_id = l.conv_id AND ea.turn = l.turn) AS k FROM low l)"""
+_FUZZY = f"""wa AS ({_words('turns', 'conv_id, turn', 'ta')}), wb AS ({_words('turns', 'conv_id, turn', 'tb')}),
+wx AS (SELECT *, {_letters('w')} AS l FROM wa WHERE w <> ''), wy AS (SELECT *, {_letters('w')} AS l FROM wb WHERE w <> ''),
+ex AS (SELECT conv_id, turn, w FROM wx JOIN wy USING (conv_id, turn, w)),
+pr AS (SELECT wx.conv_id, wx.turn, wx.w AS x, wy.w AS y, wx.l AS lx, wy.l AS ly, contains(wx.w, wy.w) OR contains(wy.w, wx.w) AS sub FROM wx JOIN wy USING (conv_id, turn)
+  WHERE wx.w <> wy.w AND length(wx.w) >= 3 AND length(wy.w) >= 3),
+fs AS (SELECT conv_id, turn, count(*) FILTER (sub) AS s, count(*) FILTER (NOT sub AND levenshtein(lx, ly) <= 2
+    AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.conv_id = pr.conv_id AND ex.turn = pr.turn AND ex.w IN (pr.x, pr.y))) AS f FROM pr GROUP BY 1, 2),
+ne AS (SELECT conv_id, turn, count(*) AS e FROM ex GROUP BY 1, 2),
+nu AS (SELECT conv_id, turn, count(*) AS u FROM (SELECT conv_id, turn, w FROM wx UNION SELECT conv_id, turn, w FROM wy) GROUP BY 1, 2),
+fuzzy AS (SELECT conv_id, turn, (coalesce(e, 0) + 0.8 * coalesce(s, 0) + 0.6 * coalesce(f, 0)) / u::DOUBLE AS fs
+  FROM nu LEFT JOIN ne USING (conv_id, turn) LEFT JOIN fs USING (conv_id, turn))"""
+_WHOLE = f"{_TURNS} {_LADDER}, {_FUZZY}"
 _LADDER_SCORE = """CASE WHEN empty THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9
-  WHEN k >= 2 THEN least(0.95, k / (na + nb - k)::DOUBLE * 1.3) WHEN k = 1 THEN k / (na + nb - k)::DOUBLE ELSE 0.0 END"""
+  WHEN k >= 2 THEN least(0.95, k / (na + nb - k)::DOUBLE * 1.3) WHEN k = 1 THEN k / (na + nb - k)::DOUBLE ELSE least(0.7, coalesce(fs, 0.0)) END"""
 
 _DOC_PAIRS = f"""base AS (SELECT doc_id, {_strip('lower(text)')} AS a, lower(source) AS n, text = '' AS empty FROM documents),
 cls AS (SELECT a, n, min(doc_id) AS c, count(*) AS k FROM base WHERE NOT empty GROUP BY a, n),
@@ -288,28 +311,20 @@ hits AS (SELECT i, j, round(score, 6) AS score, n_i, n_j FROM scored WHERE score
 ORACLES = {
     "text_pairs": f"WITH {_DOC_PAIRS} SELECT * FROM hits",
     "text_duplicates": f"WITH {_DOC_PAIRS} SELECT i, j, score FROM hits WHERE score >= 0.95",
-    "text_search": f"""WITH doc AS (SELECT doc_id, source, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM documents),
-      low AS (SELECT doc_id, {_strip('lower(text)')} AS a, lower(source) AS n, text = '' AS empty FROM doc),
-      w AS ({_words('doc', 'doc_id', 'text')}),
+    "text_search": f"""WITH {_alphabet('documents', 'text')},
+      low AS (SELECT doc_id, {_strip('lower(text)')} AS a, lower(source) AS n, text = '' AS empty FROM documents),
+      w AS ({_words('documents', 'doc_id', 'text')}),
       fz AS (SELECT doc_id, least(0.7, (0.8 * count(*) FILTER (length(w) >= 3 AND contains('zebra', w)) +
-          0.6 * count(*) FILTER (length(w) >= 3 AND NOT contains('zebra', w) AND levenshtein(w, 'zebra') <= 2)) / (count(*) + 1)) AS s
+          0.6 * count(*) FILTER (length(w) >= 3 AND NOT contains('zebra', w) AND levenshtein({_letters('w')}, 'zebra') <= 2)) / (count(*) + 1)) AS s
         FROM w WHERE w <> '' GROUP BY doc_id),
       sc AS (SELECT doc_id, CASE WHEN a IN ('license', 'hand') THEN 1.0 WHEN contains(a, 'license') OR contains(a, 'hand') THEN 0.9 ELSE 0.0 END
           - 0.5 * CASE WHEN contains(a, 'zebra') THEN 0.9 ELSE fz.s END AS score FROM low LEFT JOIN fz USING (doc_id) WHERE NOT empty)
       SELECT doc_id, round(score, 6) AS score FROM sc WHERE round(score, 9) >= 0.85""",
-    "text_similarity": f"WITH {_TURNS} {_LADDER} SELECT conv_id, turn, round({_LADDER_SCORE}, 6)::DOUBLE AS score FROM cnt",
-    "fuzzy_words": f"""WITH {_TURNS} wa AS ({_words('turns', 'conv_id, turn', 'ta')}), wb AS ({_words('turns', 'conv_id, turn', 'tb')}),
-      a AS (SELECT * FROM wa WHERE w <> ''), b AS (SELECT * FROM wb WHERE w <> ''),
-      ex AS (SELECT conv_id, turn, w FROM a JOIN b USING (conv_id, turn, w)),
-      pr AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y, contains(a.w, b.w) OR contains(b.w, a.w) AS sub FROM a JOIN b USING (conv_id, turn)
-        WHERE a.w <> b.w AND length(a.w) >= 3 AND length(b.w) >= 3),
-      sc AS (SELECT conv_id, turn, count(*) FILTER (sub) AS s, count(*) FILTER (NOT sub AND levenshtein(x, y) <= 2
-          AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.conv_id = pr.conv_id AND ex.turn = pr.turn AND ex.w IN (pr.x, pr.y))) AS f FROM pr GROUP BY 1, 2),
-      ne AS (SELECT conv_id, turn, count(*) AS e FROM ex GROUP BY 1, 2),
-      nu AS (SELECT conv_id, turn, count(*) AS u FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1, 2)
-      SELECT conv_id, turn, round((coalesce(e, 0) + 0.8 * coalesce(s, 0) + 0.6 * coalesce(f, 0)) / u::DOUBLE, 6)::DOUBLE AS score
-      FROM nu LEFT JOIN ne USING (conv_id, turn) LEFT JOIN sc USING (conv_id, turn)""",
-    "edit_distance": f"WITH {_TURNS} x AS (SELECT 1) SELECT conv_id, turn, levenshtein(ta, tb)::INT AS distance FROM turns",
+    "text_similarity": f"WITH {_WHOLE} SELECT conv_id, turn, round({_LADDER_SCORE}, 6)::DOUBLE AS score FROM cnt LEFT JOIN fuzzy USING (conv_id, turn)",
+    "related_turns": f"""WITH {_WHOLE} SELECT conv_id, turn, CASE WHEN 0.7 * ({_LADDER_SCORE}) + 0.3 > 0.8 THEN 1 ELSE 0 END::INT AS related
+      FROM cnt LEFT JOIN fuzzy USING (conv_id, turn)""",
+    "fuzzy_words": f"WITH {_TURNS} {_FUZZY} SELECT conv_id, turn, round(fs, 6)::DOUBLE AS score FROM fuzzy",
+    "edit_distance": f"WITH {_TURNS} x AS (SELECT 1) SELECT conv_id, turn, levenshtein({_letters('ta')}, {_letters('tb')})::INT AS distance FROM turns",
     "prompt_rule": """SELECT doc_id, source FROM documents WHERE text IS NOT NULL
       AND (contains(lower(text), 'the') OR contains(lower(text), 'und')) AND contains(lower(source), 'src1')""",
     "prompt_blacklist": """SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'password') OR contains(lower(text), 'http')""",
