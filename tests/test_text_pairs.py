@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from curaspark.functions import fuzzy
@@ -84,23 +86,43 @@ def test_text_similarity(spark):
         assert abs(r.s - plain_score(r.a, r.b)) < 1e-12, (r.a, r.b)
 
 
-def test_text_pairs(spark):
+@pytest.mark.parametrize("threshold", [0.85, 0.75, 0.5, 0.2])
+def test_text_pairs(spark, threshold):
     rng = random.Random(8)
-    pos = texts(70, 9)
+    pos = texts(70 if threshold > 0.7 else 45, 9)
     rows = [(i, p, rng.choice(["blurry", "blurry, dark", "dark", "", "bad night"])) for i, p in enumerate(pos)]
-    found = T.text_pairs(spark.createDataFrame(rows, "id long, p string, n string"), "id", "p", "n")
+    found = T.text_pairs(spark.createDataFrame(rows, "id long, p string, n string"), "id", "p", "n", threshold)
     member = {r["id"]: r["cls"] for r in found.members.collect()}
     own = {r["cls"]: r["self_score"] for r in found.classes.collect()}
-    score = {(r["c"], r["d"]): r["score"] for r in found.pairs.collect()}
+    rows_found = found.pairs.collect()
+    score = {(r["c"], r["d"]): r["score"] for r in rows_found}
+    assert len(score) == len(rows_found)
     for i, p, n in rows:
         for j, q, m in rows[i + 1 :]:
             want = round(0.7 * plain_score(p, q) + 0.3 * plain_score(n, m), 9)
             a, b = sorted((member[i], member[j]))
             got = own[a] if a == b else score.get((a, b))
-            assert (got is not None) == (want >= 0.85), (p, q, n, m, want, got)
+            assert (got is not None) == (want >= threshold), (p, q, n, m, want, got)
             assert got is None or abs(got - want) < 1e-6
 
 
+def test_related_words(spark):
+    rng = random.Random(11)
+    pool = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 8))) for _ in range(150)} | {"x" * 30, "x" * 28 + "y", "catalogue", "cat"}
+    got = {(r.w, r.v): r.weight for r in T.related_words(spark.createDataFrame([(w,) for w in pool], "word string")).collect()}
+    for a in pool:
+        for b in pool:
+            if a == b:
+                want = 1.0
+            elif min(len(a), len(b)) < 3:
+                want = None
+            elif a in b or b in a:
+                want = 0.8
+            else:
+                want = 0.6 if fuzzy._near(a, b) else None
+            assert got.get((a, b)) == want, (a, b)
+
+
 def test_set_pairs(spark):
     rng = random.Random(10)
     rows = []
