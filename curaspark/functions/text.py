@@ -89,19 +89,28 @@ def prepared_similarity(p, q, fuzzy: bool = True) -> Column:
     more are shared), else the fuzzy word score, capped.
     """
     a, b = _col(p), _col(q)
-    shared = F.size(F.array_intersect(a["elems"], b["elems"]))
-    ratio = shared / F.size(F.array_union(a["elems"], b["elems"]))
-    element = F.when(shared >= 2, F.least(F.lit(ELEMENT_CAP), ratio * ELEMENT_BOOST)).otherwise(ratio)
     first = (
         F.when(a["empty"] | b["empty"], F.lit(0.0))
         .when(a["low"] == b["low"], F.lit(1.0))
         .when(F.contains(a["low"], b["low"]) | F.contains(b["low"], a["low"]), F.lit(CONTAINED))
-        .when(shared > 0, element)
+        .otherwise(element_score(a["elems"], b["elems"]))
     )
     if not fuzzy:
         return F.coalesce(first, F.lit(0.0))
+    return with_fuzzy(first, a["words"], b["words"])
+
+
+def element_score(a, b) -> Column:
+    """Jaccard index of the elements, boosted when two or more are shared; null without a shared one."""
+    shared = F.size(F.array_intersect(_col(a), _col(b)))
+    ratio = shared / F.size(F.array_union(_col(a), _col(b)))
+    return F.when(shared >= 2, F.least(F.lit(ELEMENT_CAP), ratio * ELEMENT_BOOST)).when(shared > 0, ratio)
+
+
+def with_fuzzy(first: Column, a, b) -> Column:
+    """The score so far, or where it is null the capped word score of two word lists."""
     # only texts undecided so far are handed to the word score
-    left = fuzzy_word_similarity(F.when(first.isNull(), a["words"]), F.when(first.isNull(), b["words"]))
+    left = fuzzy_word_similarity(F.when(first.isNull(), _col(a)), F.when(first.isNull(), _col(b)))
     return F.coalesce(first, F.least(F.lit(FUZZY_CAP), left))
 
 

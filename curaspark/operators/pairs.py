@@ -11,6 +11,7 @@ form and never build the expanded one.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -207,27 +208,80 @@ def set_similarity(m1: Column, l1: Column, m2: Column, l2: Column) -> Column:
     return F.when(empty1 & empty2, F.lit(1.0)).when(empty1 | empty2, F.lit(0.0)).otherwise(mixed)
 
 
+#: Stands for "above 0".
+ANY = 1e-6
+
+
+def two_sided(
+    owner: DataFrame, p_scored: Callable[[float], DataFrame], n_scored: Callable[[float], DataFrame], weights: tuple[float, float], threshold: float
+) -> DataFrame:
+    """(c, d, score), c < d, of items (cls, p, n) whose weighted scores of both sides come to ``threshold`` (above 0).
+
+    p and n name the item's value on a side, null where it has none, which is worth nothing. ``p_scored(least)`` gives the
+    pairs (c, d, score) of different values of a side that score at least that much; equal values score 1. Each side is
+    scored once per pair of values, so an item costs one row however popular its values are.
+    """
+    p_weight, n_weight = weights
+
+    def both_ways(scored: DataFrame, side: str) -> DataFrame:
+        """(side, side2, score) in both directions, equal values included."""
+        same = owner.filter(F.col(side).isNotNull()).select(F.col(side).alias("c"), F.col(side).alias("d"), F.lit(1.0).alias("score")).distinct()
+        every = scored.select("c", "d", "score").unionByName(scored.select(F.col("d").alias("c"), F.col("c").alias("d"), "score")).unionByName(same)
+        return every.select(F.col("c").alias(side), F.col("d").alias(f"{side}2"), F.col("score").alias(f"{side}s"))
+
+    # the least that each side has to give when the other one gives all it can
+    p_need, n_need = (threshold - n_weight) / p_weight, (threshold - p_weight) / n_weight
+    p_pairs = both_ways(p_scored(max(p_need, ANY)), "p")
+    n_pairs = both_ways(n_scored(max(n_need, ANY)), "n")
+    left = owner.select(F.col("cls").alias("c"), "p", "n")
+    right = owner.select(F.col("cls").alias("d"), F.col("p").alias("p2"), F.col("n").alias("n2"))
+    if n_need > 0:
+        met = left.join(p_pairs, "p").join(n_pairs, "n").join(right, ["p2", "n2"]).select("c", "d", "ps", "ns")
+    else:
+        # the second side may be worth nothing
+        met = left.join(p_pairs, "p").join(right, "p2").filter("c < d").join(n_pairs, ["n", "n2"], "left").select("c", "d", "ps", "ns")
+    if p_need <= 0:
+        alone = n_pairs.filter(F.col("ns") * n_weight >= threshold - 1e-9)
+        met = met.unionByName(
+            left.join(alone, "n").join(right, "n2").filter("c < d").join(p_pairs, ["p", "p2"], "left").select("c", "d", "ps", "ns")
+        ).distinct()
+    total = F.coalesce("ps", F.lit(0.0)) * p_weight + F.coalesce("ns", F.lit(0.0)) * n_weight
+    return met.filter("c < d").select("c", "d", total.alias("raw")).filter(F.round("raw", 9) >= threshold).select("c", "d", F.round("raw", 9).alias("score"))
+
+
+def scored_sets(sets: DataFrame, least: float) -> DataFrame:
+    """(c, d, score), c < d, of distinct token sets (cls, toks) whose Jaccard index is at least ``least`` (above 0)."""
+    found = token_candidates(sets, "cls", "toks", least)
+    left, right = sets.select(F.col("cls").alias("c"), F.col("toks").alias("a")), sets.select(F.col("cls").alias("d"), F.col("toks").alias("b"))
+    scored = found.join(left, "c").join(right, "d").select("c", "d", jaccard(F.col("a"), F.col("b")).alias("score"))
+    return checkpoint(scored.filter(F.col("score") >= least - 1e-9))
+
+
 def set_pairs(df: DataFrame, ident: str, models: str, loras: str, threshold: float = 0.7) -> PairSet:
-    """Pairs of items whose two-part set score is at least ``threshold`` (must exceed LORA_WEIGHT)."""
-    need = (threshold - LORA_WEIGHT) / MODEL_WEIGHT
-    if need <= 0:
-        raise ValueError("threshold must exceed the weight of the second set")
+    """Pairs of items whose two-part set score is at least ``threshold`` (any number above 0).
+
+    Items fall into classes of equal pairs of sets; model sets and add-on sets are joined on their own, each set once.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
+    empty = F.array().cast("array<string>")
     base = df.select(
         F.col(ident).alias("id"),
-        F.array_sort(F.array_distinct(F.coalesce(F.col(models).cast("array<string>"), F.array().cast("array<string>")))).alias("m"),
-        F.array_sort(F.array_distinct(F.coalesce(F.col(loras).cast("array<string>"), F.array().cast("array<string>")))).alias("l"),
+        F.array_sort(F.array_distinct(F.coalesce(F.col(models).cast("array<string>"), empty))).alias("m"),
+        F.array_sort(F.array_distinct(F.coalesce(F.col(loras).cast("array<string>"), empty))).alias("l"),
     )
     own = set_similarity(F.col("m"), F.col("l"), F.col("m"), F.col("l"))
     members, classes = _classes(
         base, "id", ["m", "l"], F.to_json(F.struct("m", "l")), F.when(own >= threshold, F.round(own, 9))
     )
-    candidates = token_candidates(classes.filter(F.size("m") > 0), "cls", "m", need)
-    side = classes.select("cls", "m", "l")
-    scored = (
-        candidates.join(side.select(F.col("cls").alias("c"), F.col("m").alias("m1"), F.col("l").alias("l1")), "c")
-        .join(side.select(F.col("cls").alias("d"), F.col("m").alias("m2"), F.col("l").alias("l2")), "d")
-        .select("c", "d", set_similarity(F.col("m1"), F.col("l1"), F.col("m2"), F.col("l2")).alias("raw"))
-        .filter(F.col("raw") >= threshold)
-        .select("c", "d", F.round("raw", 9).alias("score"))
+    named = classes.select("cls", "m", "l", *[F.when(F.size(s) > 0, F.sha2(F.to_json(s), 256)).alias(k) for s, k in (("m", "p"), ("l", "n"))])
+
+    def distinct_sets(side: str, key: str) -> DataFrame:
+        return checkpoint(named.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("cls")).agg(F.first(side).alias("toks")))
+
+    m_sets, l_sets = distinct_sets("m", "p"), distinct_sets("l", "n")
+    scored = two_sided(
+        checkpoint(named.select("cls", "p", "n")), lambda least: scored_sets(m_sets, least), lambda least: scored_sets(l_sets, least),
+        (MODEL_WEIGHT, LORA_WEIGHT), threshold,
     )
     return PairSet(members, classes.select("cls", "n", "self_score"), checkpoint(scored))

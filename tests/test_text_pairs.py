@@ -123,14 +123,15 @@ def test_related_words(spark):
             assert got.get((a, b)) == want, (a, b)
 
 
-def test_set_pairs(spark):
+@pytest.mark.parametrize("threshold", [0.7, 0.4, 0.25])
+def test_set_pairs(spark, threshold):
     rng = random.Random(10)
     rows = []
     for i in range(140):
         size = rng.choice([0, 1, 2, 3, 4, 6, 60])
         pool = [f"m{k}" for k in range(70 if size == 60 else 12)]
         rows.append((i, rng.sample(pool, size), rng.sample(["x", "y", "z"], rng.randint(0, 2))))
-    found = J.set_pairs(spark.createDataFrame(rows, "id long, m array<string>, l array<string>"), "id", "m", "l")
+    found = J.set_pairs(spark.createDataFrame(rows, "id long, m array<string>, l array<string>"), "id", "m", "l", threshold)
     member = {r["id"]: r["cls"] for r in found.members.collect()}
     own = {r["cls"]: r["self_score"] for r in found.classes.collect()}
     score = {(r["c"], r["d"]): r["score"] for r in found.pairs.collect()}
@@ -149,7 +150,7 @@ def test_set_pairs(spark):
                 want = jac(m1, m2) * 0.7 + jac(l1, l2) * 0.3
             a, b = sorted((member[i], member[j]))
             got = own[a] if a == b else score.get((a, b))
-            assert (got is not None) == (want >= 0.7), (m1, l1, m2, l2, want)
+            assert (got is not None) == (round(want, 9) >= threshold), (m1, l1, m2, l2, want)
 
 
 def test_hist_pairs_with_pivots(spark):
