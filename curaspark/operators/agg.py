@@ -18,12 +18,15 @@ from curaspark.functions import vec as V
 
 
 def mean_vector(df: DataFrame, key: str, vec: str, name: str = "vec") -> DataFrame:
-    """Element-wise mean per key. Elements are averaged one by one, so partial sums are combined on
-    the map side and no group is ever collected."""
-    cells = df.select(key, F.posexplode(vec).alias("_p", "_x"))
-    means = cells.groupBy(key, "_p").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    packed = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "_m"))).alias("_a"))
-    return packed.select(key, F.transform("_a", lambda s: s["_m"]).alias(name))
+    """Element-wise mean per key, one running mean per element: a vector is one row all the way, partial sums are combined on
+    the map side, and no group is ever collected. Null vectors count for nothing, shorter vectors end earlier."""
+    rows = df.filter(F.col(vec).isNotNull()).select(key, F.col(vec).alias("_v"))
+    width = rows.agg(F.max(F.size("_v"))).first()[0] or 0
+    means = rows.groupBy(key).agg(
+        F.max(F.size("_v")).alias("_n"), *[F.avg(F.get("_v", F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(width)]
+    )
+    packed = F.array(*[F.col(f"_m{i}") for i in range(width)]).cast("array<double>")
+    return means.filter("_n > 0").select(key, F.slice(packed, F.lit(1), F.col("_n")).alias(name))
 
 
 def centroid(df: DataFrame, key: str, vec: str, name: str = "vec") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from curaspark.functions import vec as V
 from curaspark.operators import blocks as B
+from curaspark.operators import products as P
 from curaspark.session import checkpoint
 
 
@@ -112,6 +113,29 @@ def similar_pairs(df: DataFrame, ident: str, vec: str, threshold: float, block_r
     return _joined(members, classes, placed, B.dot_kernel(threshold), block_rows)
 
 
+def readd_pairs(old: PairSet, df: DataFrame, ident: str, vec: str, threshold: float) -> PairSet:
+    """The pairs of all rows of ``df``, from those found before and the products of new vectors with all.
+
+    ``df`` holds the items of ``old`` that are still there and the ones added (again) since; vectors of known items must not have
+    changed. Only classes without a known item are compared, with each other and with the rest.
+    """
+    base = df.filter(F.col(vec).isNotNull()).select(F.col(ident).alias("id"), F.col(vec).alias("vec"))
+    own = F.round(V.dot("vec", "vec"), 9)
+    members, classes = _classes(base, "id", ["vec"], F.col("vec").cast("string"), F.when(own > threshold, own))
+    members = checkpoint(members)
+    # classes are named by their smallest member, which may have come or gone
+    names = checkpoint(
+        old.members.withColumnRenamed("cls", "was").join(members, "id").groupBy("was").agg(F.min("cls").alias("cls"))
+    )
+    kept = old.pairs.join(names.select(F.col("was").alias("c"), F.col("cls").alias("c2")), "c").join(names.select(F.col("was").alias("d"), F.col("cls").alias("d2")), "d")
+    kept = kept.select(F.least("c2", "d2").alias("c"), F.greatest("c2", "d2").alias("d"), "score")
+    fresh = classes.join(names.select("cls"), "cls", "left_anti")
+    found = P.matches(
+        classes.select(F.col("cls").alias("id"), "vec"), fresh.select(F.col("cls").alias("key"), "vec"), threshold
+    ).filter("id != key").select(F.least("id", "key").alias("c"), F.greatest("id", "key").alias("d"), "score").dropDuplicates(["c", "d"])
+    return PairSet(members, classes.select("cls", "n", "self_score"), checkpoint(kept.unionByName(found)))
+
+
 def hist_pairs(df: DataFrame, ident: str, hist: str, threshold: float = 0.2, block_rows: int | None = None) -> PairSet:
     """Pairs of histograms whose half L1 distance is at most ``threshold``; lower is closer."""
     base = df.filter(F.col(hist).isNotNull()).select(F.col(ident).alias("id"), F.col(hist).alias("vec"))

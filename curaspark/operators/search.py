@@ -1,7 +1,7 @@
 """Similarity search over vectors, texts, sets, sizes and signatures.
 
-Query vectors are few (they come from one request), so they travel as a literal and scoring is a
-projection without a join; ``load_queries`` checks that they are few.
+The vectors of one request travel as literals and scoring is a projection without a join; tables of query vectors (presets,
+stored seeds, named texts) may have any size and go through ``operators.products``.
 """
 
 from __future__ import annotations
@@ -13,34 +13,19 @@ from pyspark.sql import functions as F
 
 from curaspark.functions import text as X
 from curaspark.functions import vec as V
+from curaspark.operators import products
 from curaspark.operators.order import top_k
 from curaspark.operators.pairs import set_similarity
 from curaspark.scale import hold, spread
+from curaspark.session import checkpoint
 
-MAX_QUERIES = 1000
 SEARCH_RESULTS = 50
 
 
-def load_queries(df: DataFrame, key: str, vec: str) -> list[tuple]:
-    """Query vectors as a local list of (key, vector); refuses more than MAX_QUERIES."""
-    rows = df.select(key, vec).orderBy(key).take(MAX_QUERIES + 1)
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors")
-    return [(r[0], [float(x) for x in r[1]]) for r in rows]
-
-
 def _literal(vec: Sequence[float]) -> Column:
     return F.lit([float(x) for x in vec])
 
 
-def score_against(df: DataFrame, vec: str, queries: Sequence[tuple], name: str = "scores") -> DataFrame:
-    """Add a map query key → dot product."""
-    pairs = []
-    for key, q in queries:
-        pairs += [F.lit(key), V.dot(vec, _literal(q))]
-    return df.withColumn(name, F.create_map(*pairs))
-
-
 def item_vector(df: DataFrame, ident: str, vec: str, key) -> list[float]:
     row = df.filter(F.col(ident) == F.lit(key)).select(vec).first()
     if row is None:
@@ -82,25 +67,55 @@ def text_threshold(threshold: float) -> float:
     return threshold / 3
 
 
-def segregate(df: DataFrame, ident: str, vec: str, presets: Sequence[tuple]) -> DataFrame:
-    """Preset with the largest relative score per item; scores are divided by the preset's smallest one.
+def mean_of(queries: DataFrame, vec: str) -> list[float] | None:
+    """Mean of any number of query vectors: the mean of dot products is the dot product with the mean. None without any."""
+    from curaspark.operators.agg import mean_vector
+
+    row = mean_vector(queries.filter(F.col(vec).isNotNull()).withColumn("_all", F.lit(0)), "_all", vec).first()
+    return None if row is None else [float(x) for x in row["vec"]]
+
+
+def _tables(df: DataFrame, ident: str, vec: str, queries: DataFrame, key: str, query_vec: str, unit: bool = False) -> tuple[DataFrame, DataFrame]:
+    def side(d: DataFrame, name: str, of: str, v: str) -> DataFrame:
+        return d.select(F.col(of).alias(name), (V.l2_normalize(v) if unit else F.col(v).cast("array<double>")).alias("vec"))
+
+    return side(df, "id", ident, vec), side(queries, "key", key, query_vec)
+
+
+def segregate(df: DataFrame, ident: str, vec: str, presets: DataFrame, key: str, preset_vec: str, **how) -> DataFrame:
+    """(id, preset, score): the preset with the largest relative score per item, ties to the smaller key.
 
-    The smallest scores are one row of aggregates; earlier presets win ties.
+    A preset's scores are divided by its smallest one; with its vector divided instead, the best preset is the one with the
+    largest dot product. ``presets`` (key, vector) may have any number of rows; a preset whose smallest score is 0 has no
+    relative scores.
     """
-    scored = df.select(F.col(ident).alias("id"), *[V.dot(vec, _literal(q)).alias(f"s{i}") for i, (_, q) in enumerate(presets)])
-    low = scored.agg(*[F.min(f"s{i}").alias(f"m{i}") for i in range(len(presets))]).first()
-    ranked = F.array_max(
-        F.array(*[
-            F.struct((F.col(f"s{i}") / F.lit(low[i])).alias("score"), F.lit(-i).alias("o"), F.lit(k).alias("preset"))
-            for i, (k, _) in enumerate(presets)
-        ])
-    )
-    return scored.select("id", ranked["preset"].alias("preset"), ranked["score"].alias("score"))
+    items, queries = _tables(df, ident, vec, presets, key, preset_vec)
+    low = products.lowest_scores(items, queries, **how).filter("low != 0")
+    scaled = checkpoint(queries.join(low, "key").select("key", F.transform("vec", lambda x: x / F.col("low")).alias("vec")))
+    return products.best_queries(items, scaled, **how).select("id", F.col("key").alias("preset"), "score")
+
+
+def search_preset(df: DataFrame, ident: str, vec: str, presets: DataFrame, key: str, preset_vec: str, query, k: int = SEARCH_RESULTS) -> DataFrame:
+    """Best items of those whose best preset is the query."""
+    return top_k(segregate(df, ident, vec, presets, key, preset_vec).filter(F.col("preset") == F.lit(query)).select("id", "score"), k)
+
+
+def best_texts(df: DataFrame, ident: str, vec: str, texts: DataFrame, key: str, text_vec: str, **how) -> DataFrame:
+    """(id, text, score): the named text vector with the largest cosine for every item, ties to the smaller name."""
+    items, queries = _tables(df, ident, vec, texts, key, text_vec, unit=True)
+    return products.best_queries(items, queries, **how).select("id", F.col("key").alias("text"), "score")
 
 
-def search_preset(df: DataFrame, ident: str, vec: str, presets: Sequence[tuple], query, k: int = SEARCH_RESULTS) -> DataFrame:
-    """Items whose best preset is the query."""
-    return top_k(segregate(df, ident, vec, presets).filter(F.col("preset") == F.lit(query)), k)
+def search_each(df: DataFrame, ident: str, vec: str, queries: DataFrame, key: str, query_vec: str, k: int = SEARCH_RESULTS, **how) -> DataFrame:
+    """(key, id, score): the best ``k`` items of every query vector of a table of any size."""
+    items, asked = _tables(df, ident, vec, queries, key, query_vec)
+    return products.top_matches(items, asked, k, **how)
+
+
+def search_prompt_vector(df: DataFrame, ident: str, pos: str, neg: str, key, k: int | None = SEARCH_RESULTS, threshold: float | None = None) -> DataFrame:
+    """Items whose prompt vectors (positive less half of the negative one, unit length) are most similar to one item's."""
+    unit = df.select(F.col(ident).alias("id"), V.l2_normalize(V.combine_vectors(pos, neg)).alias("vec"))
+    return search_item(unit, "id", "vec", key, k, threshold)
 
 
 def multi_text_score(vec: str, positives: Sequence, negatives: Sequence = ()) -> Column:
@@ -118,11 +133,10 @@ def multi_text_score(vec: str, positives: Sequence, negatives: Sequence = ()) ->
     return F.when((pos > 0) & (neg > 0), pos / neg).when(pos > 0, pos).when(neg != 0, F.lit(1.0) / neg)
 
 
-def text_scores(df: DataFrame, ident: str, vec: str, key, texts: Sequence[tuple]) -> DataFrame:
-    """Cosine of one item with several named text vectors: (text, score)."""
-    row = df.filter(F.col(ident) == F.lit(key))
-    named = F.array(*[F.struct(F.lit(n).alias("text"), V.cosine(vec, _literal(q)).alias("score")) for n, q in texts])
-    return row.select(F.explode(named).alias("t")).select("t.text", "t.score")
+def text_scores(df: DataFrame, ident: str, vec: str, key, texts: DataFrame, name: str, text_vec: str) -> DataFrame:
+    """Cosine of one item with named text vectors: (text, score)."""
+    q = item_vector(df, ident, vec, key)
+    return texts.select(F.col(name).alias("text"), V.cosine(text_vec, _literal(q)).alias("score"))
 
 
 def prototype_score(vec: str, positive: Sequence[float], negative: Sequence[float] | None = None, lam: float = 0.5) -> Column:
@@ -260,6 +274,22 @@ class SeedLibrary:
             out = out.filter(F.array_contains("tags", tag))
         return out
 
+    def capture(self, items: DataFrame, ident: str, vec: str, key, seed_id, name: str, model: str, tags: Sequence[str] = ()) -> SeedLibrary:
+        """Store one item's vector as a seed; of several vectors (frames of one item) the mean, at unit length.
+
+        An item without a vector adds nothing.
+        """
+        found = items.filter((F.col(ident) == F.lit(key)) & F.col(vec).isNotNull()).withColumn("_all", F.lit(0))
+        from curaspark.operators.agg import mean_vector
+
+        kinds = {f.name: f.dataType for f in self.df.schema}
+        row = mean_vector(found, "_all", vec).select(
+            F.lit(seed_id).cast(kinds["id"]).alias("id"), F.lit(name).alias("name"), F.lit(list(tags)).cast("array<string>").alias("tags"),
+            V.l2_normalize("vec").cast(kinds["vec"]).alias("vec"), F.lit(model).alias("model"), F.lit(0).cast(kinds["use_count"]).alias("use_count"),
+            F.lit(False).alias("deprecated"),
+        )
+        return self.upsert(row)
+
     def used(self, ids: DataFrame) -> SeedLibrary:
         """Count one more use of the listed seeds."""
         marks = ids.select("id").distinct().withColumn("_used", F.lit(1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curaspark.functions import vec as V
 from curaspark.operators import agg as A
 from curaspark.operators import cluster as C
+from curaspark.operators import composite as Q
 from curaspark.operators import pairs as J
 from curaspark.operators import search as S
 from curaspark.plans.tables import table
@@ -44,10 +45,6 @@ def _centroids(spark, folder) -> DataFrame:
     return A.centroid(_emb(spark, folder), "label", "embedding")
 
 
-def _presets(spark, folder) -> list:
-    return _once(spark, folder, "presets", lambda: S.load_queries(_centroids(spark, folder), "label", "vec"))
-
-
 def _r6(c: str):
     return F.round(c, 6).alias(c)
 
@@ -135,8 +132,7 @@ def next_unrelated(spark, folder):
 
 
 def color_pairs(spark, folder):
-    lab = _emb(spark, folder).select("vec_id", F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double") * 100).alias("lab"))
-    return J.color_pairs(lab, "vec_id", "lab", 40).rows().select("i", "j", "score")
+    return J.color_pairs(_lab(spark, folder), "vec_id", "lab", 40).rows().select("i", "j", "score")
 
 
 def search_colors(spark, folder):
@@ -171,19 +167,29 @@ def search_multimodal(spark, folder):
 
 def search_with_seeds(spark, folder):
     """Item vectors and stored seed vectors in one query; text-only threshold."""
-    pos = _vectors(spark, folder, (1,)) + [v for _, v in _presets(spark, folder)[:2]]
-    out = S.search_multimodal(_emb(spark, folder), "vec_id", "embedding", pos, [], None, S.text_threshold(THRESHOLD))
+    seeds = _centroids(spark, folder).filter("label in (0, 1)").select("vec")
+    item = _emb(spark, folder).filter("vec_id = 1").select(F.col("embedding").cast("array<double>").alias("vec"))
+    mean = S.mean_of(item.unionByName(seeds), "vec")
+    out = S.search_multimodal(_emb(spark, folder), "vec_id", "embedding", [mean], [], None, S.text_threshold(THRESHOLD))
     return out.select(F.col("id").alias("vec_id"), _r6("score"))
 
 
 def search_preset(spark, folder):
-    out = S.segregate(_emb(spark, folder), "vec_id", "embedding", _presets(spark, folder))
-    return out.filter(F.col("preset") == 2).select(F.col("id").alias("vec_id"), _r6("score"))
+    out = S.search_preset(_emb(spark, folder), "vec_id", "embedding", _centroids(spark, folder), "label", "vec", 2)
+    return out.select(F.col("id").alias("vec_id"), _r6("score"))
+
+
+def preset_matches(spark, folder):
+    """The five best items of every item's vector: a table of queries as large as the table of items."""
+    emb = _emb(spark, folder)
+    out = S.search_each(emb, "vec_id", "embedding", emb, "vec_id", "embedding", 5)
+    return out.select(F.col("key").alias("query_id"), F.col("id").alias("vec_id"), _r6("score"))
 
 
 def prototype_validation(spark, folder):
-    presets = dict(_presets(spark, folder))
-    out = S.validate_with_prototypes(_emb(spark, folder), "vec_id", "embedding", presets[1], presets[2], 0.5, 0.1)
+    wanted = _centroids(spark, folder)
+    good, bad = (S.item_vector(wanted, "label", "vec", k) for k in (1, 2))
+    out = S.validate_with_prototypes(_emb(spark, folder), "vec_id", "embedding", good, bad, 0.5, 0.1)
     return out.select(F.col("id").alias("vec_id"), _r6("score"))
 
 
@@ -193,10 +199,85 @@ def multi_text_score(spark, folder):
     return _emb(spark, folder).select("vec_id", F.round(score, 5).alias("score")).filter(F.col("score") > 0.01)
 
 
-def text_scores(spark, folder):
+def best_texts(spark, folder):
     """Cosine of every item with the label vectors as named texts, best text per item."""
-    named = F.array_max(F.array(*[F.struct(V.cosine("embedding", F.lit(v)).alias("s"), F.lit(int(k)).alias("t")) for k, v in _presets(spark, folder)]))
-    return _emb(spark, folder).select("vec_id", named.alias("b")).select("vec_id", F.col("b.t").alias("best_label"), F.round("b.s", 6).alias("score"))
+    out = S.best_texts(_emb(spark, folder), "vec_id", "embedding", _centroids(spark, folder), "label", "vec")
+    return out.select(F.col("id").alias("vec_id"), F.col("text").alias("best_label"), _r6("score"))
+
+
+def text_scores(spark, folder):
+    """Cosine of one item with the label vectors as named texts."""
+    out = S.text_scores(_emb(spark, folder), "vec_id", "embedding", 11, _centroids(spark, folder), "label", "vec")
+    return out.select(F.col("text").alias("label"), _r6("score"))
+
+
+def search_prompt_vector(spark, folder):
+    """Positive vectors with their label's centroid as the negative one, most similar to those of item 11."""
+    neg = broadcast_if_small(_centroids(spark, folder))  # one row per label
+    both = _emb(spark, folder).join(neg, "label")
+    return S.search_prompt_vector(both, "vec_id", "embedding", "vec", 11).select(F.col("id").alias("vec_id"), _r6("score"))
+
+
+def capture_seed(spark, folder):
+    """One item's vector and the mean of a label's vectors captured into a library of centroids."""
+    seeds = _centroids(spark, folder).filter("label < 5").select(
+        F.col("label").cast("bigint").alias("id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("name"),
+        F.array(F.lit("centroid")).alias("tags"), "vec", F.lit("m1").alias("model"), F.lit(0).cast("bigint").alias("use_count"), F.lit(False).alias("deprecated"),
+    )
+    emb = _emb(spark, folder)
+    lib = S.SeedLibrary(seeds).capture(emb, "vec_id", "embedding", 7, 100, "item 7", "m1", ["item"])
+    lib = lib.capture(emb, "label", "embedding", 6, 101, "label 6", "m1", ["frames"]).capture(emb, "vec_id", "embedding", -1, 102, "none", "m1")
+    return lib.list("m1").select("id", "name", F.array_join("tags", "|").alias("tags"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def readd_items(spark, folder):
+    """Groups after the items of one label were left out at first and added afterwards."""
+    emb = _emb(spark, folder)
+    before = J.similar_pairs(emb.filter("label != 3"), "vec_id", "embedding", THRESHOLD)
+    after = J.readd_pairs(before, emb, "vec_id", "embedding", THRESHOLD)
+    return C.greedy_groups(after).select(F.col("id").alias("vec_id"), "group_id", _r6("score"))
+
+
+def _lab(spark, folder) -> DataFrame:
+    return _emb(spark, folder).select("vec_id", F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double") * 100).alias("lab"))
+
+
+def composite_search(spark, folder):
+    """Items that two modes place among the 200 nearest to item 7: by vector and by colour signature."""
+    run = Q.CompositeCompare(
+        [
+            Q.Instance("vector", "embedding", search=lambda: S.search_item(_emb(spark, folder), "vec_id", "embedding", 7, 200)),
+            Q.Instance("colour", "color", search=lambda: S.search_colors(_lab(spark, folder), "vec_id", "lab", 7, 200)),
+            Q.Instance("off", "histogram", enabled=False),
+        ],
+        "and", by_item=True,
+    )
+    return run.search().select(F.col("id").alias("vec_id"), _r6("score"))
+
+
+def composite_text_search(spark, folder):
+    """A search by text alone: the colour instance is skipped, its weight still counts."""
+    centroid = S.item_vector(_centroids(spark, folder), "label", "vec", 4)
+    run = Q.CompositeCompare(
+        [
+            Q.Instance("text", "embedding", search=lambda: S.search_multimodal(_emb(spark, folder), "vec_id", "embedding", [centroid], [], None, 0.1), weight=3.0),
+            Q.Instance("colour", "color", search=lambda: S.search_colors(_lab(spark, folder), "vec_id", "lab", 7), weight=1.0),
+        ],
+        "weighted", by_text=True,
+    )
+    return run.search().select(F.col("id").alias("vec_id"), _r6("score"))
+
+
+def composite_groups(spark, folder):
+    """Groups of similar vectors, reduced to the items that also have a group by colour."""
+    run = Q.CompositeCompare(
+        [
+            Q.Instance("vector", "embedding", group=lambda: _groups(spark, folder)),
+            Q.Instance("colour", "color", group=lambda: C.greedy_groups(J.color_pairs(_lab(spark, folder), "vec_id", "lab", 36))),
+        ],
+        "and",
+    )
+    return run.groups("vector").select(F.col("id").alias("vec_id"), "group_id", _r6("score"))
 
 
 def seed_library(spark, folder):
@@ -346,7 +427,8 @@ QUERIES = {f.__name__: f for f in (
     similar_pairs, greedy_groups, group_order, group_members_order, group_complement, stranded_groups, groups_after_removal,
     groups_filtered, duplicate_vectors, supergroups, prompt_vector_pairs, purge_plan, unrelated_breaks, next_unrelated, color_pairs,
     search_colors, label_centroids, search_item, search_item_threshold, search_multimodal, search_with_seeds, search_preset,
-    prototype_validation, multi_text_score, text_scores, seed_library, composite_and, composite_or, composite_weighted, feature_fill,
+    preset_matches, prototype_validation, multi_text_score, best_texts, text_scores, search_prompt_vector, capture_seed, readd_items,
+    composite_search, composite_text_search, composite_groups, seed_library, composite_and, composite_or, composite_weighted, feature_fill,
     stale_purge, reference_row, hist_signature, hist_pairs, hist_groups, search_hist, mean_signature, diversity, breadth, set_pairs,
     set_groups, search_sets, search_no_models,
 )}
@@ -387,6 +469,9 @@ _CENT = """cell AS (
 mean AS (SELECT label, p, avg(x) AS m FROM cell GROUP BY label, p),
 len AS (SELECT label, sqrt(sum(m * m)) AS l FROM mean GROUP BY label),
 cent AS (SELECT label, list(m / l ORDER BY p) AS vec FROM mean JOIN len USING (label) GROUP BY label)"""
+_LABS = """lab AS (
+  SELECT vec_id, c, embedding[c * 3 + 1]::DOUBLE * 100 AS l, embedding[c * 3 + 2]::DOUBLE * 100 AS a, embedding[c * 3 + 3]::DOUBLE * 100 AS b
+  FROM embeddings, range(0, 21) t(c))"""
 _HALF = """half AS (
   SELECT vec_id, embedding[1:32]::DOUBLE[] AS front, embedding[33:64]::DOUBLE[] AS back FROM embeddings),
 run AS (
@@ -476,7 +561,10 @@ ORACLES = {
     "search_preset": f"""WITH {_CENT}, sc AS (SELECT e.vec_id, c.label AS preset, list_dot_product(e.embedding::DOUBLE[], c.vec) AS s FROM embeddings e, cent c),
       rel AS (SELECT vec_id, preset, s / min(s) OVER (PARTITION BY preset) AS r FROM sc),
       best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, preset) AS k FROM rel)
-      SELECT vec_id, round(r, 6) AS score FROM best WHERE k = 1 AND preset = 2""",
+      SELECT vec_id, round(r, 6) AS score FROM best WHERE k = 1 AND preset = 2 ORDER BY r DESC, vec_id LIMIT 50""",
+    "preset_matches": f"""WITH sc AS (SELECT a.vec_id AS query_id, b.vec_id, round({_DOT.format(a='a', b='b')}, 9) AS s FROM embeddings a, embeddings b),
+      best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS k FROM sc)
+      SELECT query_id, vec_id, round(s, 6) AS score FROM best WHERE k <= 5""",
     "prototype_validation": f"""WITH {_CENT}, sc AS (
         SELECT e.vec_id, list_dot_product(e.embedding::DOUBLE[], (SELECT vec FROM cent WHERE label = 1))
           - 0.5 * list_dot_product(e.embedding::DOUBLE[], (SELECT vec FROM cent WHERE label = 2)) AS score FROM embeddings e)
@@ -485,8 +573,32 @@ ORACLES = {
       pn AS (SELECT vec_id, avg(s) FILTER (q < 3) AS p, avg(1 / s) FILTER (q = 3) AS n FROM sc GROUP BY vec_id),
       out AS (SELECT vec_id, round(CASE WHEN p > 0 AND n > 0 THEN p / n WHEN p > 0 THEN p ELSE 1 / n END, 5) AS score FROM pn)
       SELECT * FROM out WHERE score > 0.01""",
-    "text_scores": f"""WITH {_CENT}, sc AS (SELECT e.vec_id, c.label, list_cosine_similarity(e.embedding::DOUBLE[], c.vec) AS s FROM embeddings e, cent c)
+    "best_texts": f"""WITH {_CENT}, sc AS (SELECT e.vec_id, c.label, list_cosine_similarity(e.embedding::DOUBLE[], c.vec) AS s FROM embeddings e, cent c)
       SELECT vec_id, arg_max(label, s) AS best_label, round(max(s), 6) AS score FROM sc GROUP BY vec_id""",
+    "text_scores": f"""WITH {_CENT} SELECT c.label, round(list_cosine_similarity(e.embedding::DOUBLE[], c.vec), 6) AS score FROM embeddings e, cent c WHERE e.vec_id = 11""",
+    "search_prompt_vector": f"""WITH {_CENT},
+      mixed AS (SELECT vec_id, [embedding[p]::DOUBLE - 0.5 * vec[p] FOR p IN range(1, 65)] AS v FROM embeddings JOIN cent USING (label))
+      SELECT b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM mixed a, mixed b WHERE a.vec_id = 11 AND b.vec_id <> 11
+      ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id LIMIT 50""",
+    "capture_seed": f"""WITH {_CENT}, one AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7)
+      SELECT label::BIGINT AS id, 'label ' || label AS name, 'centroid' AS tags, round(list_sum(vec), 6) AS total FROM cent WHERE label < 5
+      UNION ALL SELECT 100, 'item 7', 'item', round(list_sum(v) / sqrt(list_dot_product(v, v)), 6) FROM one
+      UNION ALL SELECT 101, 'label 6', 'frames', round(list_sum(vec), 6) FROM cent WHERE label = 6""",
+    "readd_items": f"{_WITH}{_GROUPS} SELECT id AS vec_id, group_id, round(score, 6) AS score FROM grp",
+    "composite_search": f"""WITH near AS (
+        SELECT b.vec_id, round({_DOT.format(a='a', b='b')}, 9) AS s FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND b.vec_id <> 7 ORDER BY s DESC, b.vec_id LIMIT 200),
+      {_LABS},
+      hue AS (SELECT y.vec_id, sum(trunc(sqrt((x.l - y.l) ** 2 + (x.a - y.a) ** 2 + (x.b - y.b) ** 2)))::DOUBLE AS s
+        FROM lab x JOIN lab y ON x.c = y.c AND x.vec_id = 7 AND y.vec_id <> 7 GROUP BY y.vec_id ORDER BY s, y.vec_id LIMIT 200)
+      SELECT vec_id, round(sqrt(greatest(0, least(1, near.s)) * greatest(0, least(1, 1 - hue.s / 4500.0))), 6)::DOUBLE AS score FROM near JOIN hue USING (vec_id)""",
+    "composite_text_search": f"""WITH {_CENT}, sc AS (SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], c.vec), 9) AS s FROM embeddings e, cent c WHERE c.label = 4)
+      SELECT vec_id, round(least(1, s) * 3.0 / 4.0, 6)::DOUBLE AS score FROM sc WHERE s > 0.1""",
+    "composite_groups": f"""{_WITH}{_GROUPS}, {_LABS},
+      hue_pair AS (SELECT x.vec_id AS i, y.vec_id AS j FROM lab x JOIN lab y ON x.c = y.c AND x.vec_id < y.vec_id
+        GROUP BY 1, 2 HAVING max(trunc(sqrt((x.l - y.l) ** 2 + (x.a - y.a) ** 2 + (x.b - y.b) ** 2))) < 36),
+      hue_ids AS (SELECT i AS id FROM hue_pair UNION SELECT j FROM hue_pair), kept AS (SELECT * FROM grp WHERE id IN (SELECT id FROM hue_ids)),
+      alive AS (SELECT * FROM kept WHERE group_id IN (SELECT group_id FROM kept GROUP BY group_id HAVING count(*) >= 2))
+      SELECT id AS vec_id, dense_rank() OVER (ORDER BY group_id) - 1 AS group_id, round(score, 6) AS score FROM alive""",
     "seed_library": """SELECT label::BIGINT AS id, CASE WHEN label = 1 THEN 'renamed' ELSE 'label ' || label END AS name,
       CASE WHEN label < 3 THEN 1 ELSE 0 END::BIGINT AS use_count FROM (SELECT DISTINCT label FROM embeddings) WHERE label NOT IN (4, 9)""",
     "composite_and": f"WITH {_HALF} SELECT vec_id, round(exp(avg(ln(score))), 6) AS score FROM best GROUP BY vec_id HAVING count(*) = 2",
