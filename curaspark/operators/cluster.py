@@ -230,8 +230,6 @@ def regroup_groups(pairs: PairSet, cutoff: float, lower: bool) -> DataFrame:
 # Share of the base threshold, and the lowest base threshold that is still used.
 SUPER_RATIO = 0.85
 SUPER_MIN = 0.5
-# Components with at most this many edges are clustered in one task, larger ones in rounds.
-COMPONENT_EDGES = 2_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,42 +247,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def complete_link(edges: DataFrame, edge_limit: int = COMPONENT_EDGES) -> DataFrame:
+def complete_link(edges: DataFrame) -> DataFrame:
     """(node, leader) of first-fit complete-link clusters over the edges (a, b), a < b.
 
-    In ascending order every node joins the first cluster all of whose members it is linked to,
-    which is what merging the first mergeable pair of clusters again and again comes to. Clusters
-    never leave a connected component.
+    In ascending order every node joins the first cluster all of whose members it is linked to, which is what merging the
+    first mergeable pair of clusters again and again comes to. Decided in rounds, whatever the size of a component: a node is
+    decided once its smaller neighbours are, and once no smaller undecided node is linked to a leader it could join.
     """
-    labels = checkpoint(components(edges))
-    tagged = checkpoint(edges.join(labels, F.col("a") == F.col("node")).select("a", "b", "label"))
-    sizes = tagged.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    small = tagged.join(sizes.filter(F.col("m") <= edge_limit), "label", "left_semi")
-
-    def fit(pdf):
-        import pandas as pd
-
-        linked: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            linked.setdefault(a, set()).add(b)
-            linked.setdefault(b, set()).add(a)
-        leader, clusters = {}, {}
-        for node in sorted(linked):
-            homes = sorted({leader[x] for x in linked[node] if x in leader})
-            home = next((h for h in homes if clusters[h] <= linked[node]), node)
-            leader[node] = home
-            clusters.setdefault(home, set()).add(node)
-        return pd.DataFrame({"node": list(leader), "leader": list(leader.values())})
-
-    kind = edges.schema["a"].dataType.simpleString()
-    out = small.groupBy("label").applyInPandas(fit, f"node {kind}, leader {kind}")
-    big = tagged.join(sizes.filter(F.col("m") > edge_limit), "label", "left_semi").select("a", "b")
-    return out if big.isEmpty() else out.unionByName(_complete_link_rounds(checkpoint(big)))
-
-
-def _complete_link_rounds(edges: DataFrame) -> DataFrame:
-    """The same clusters, decided in rounds: a node is decided once its smaller neighbours are, and
-    once no smaller undecided node is linked to a leader it could join."""
     both = checkpoint(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))))
     state = checkpoint(both.select("v").distinct().withColumn("leader", F.lit(None).cast(both.schema["v"].dataType)))
     while not state.filter("leader is null").isEmpty():
@@ -306,7 +275,7 @@ def _complete_link_rounds(edges: DataFrame) -> DataFrame:
 
 
 def supergroups(groups: DataFrame, items: DataFrame, vec: str, threshold: float, min_viable: float = SUPER_MIN,
-                ratio: float = SUPER_RATIO, edge_limit: int = COMPONENT_EDGES) -> DataFrame:
+                ratio: float = SUPER_RATIO) -> DataFrame:
     """(group_id, supergroup_id, n_items): groups clustered by centroid similarity, smallest total first.
 
     Skipped (empty) for thresholds below ``min_viable``. ``items`` has (id, vec).
@@ -332,7 +301,7 @@ def supergroups(groups: DataFrame, items: DataFrame, vec: str, threshold: float,
     if edges.isEmpty():
         named = sizes.select("group_id", F.col("group_id").alias("leader"), "n_members")
     else:
-        led = complete_link(edges, edge_limit)
+        led = complete_link(edges)
         named = sizes.join(led, F.col("group_id") == F.col("node"), "left").select("group_id", F.coalesce("leader", "group_id").alias("leader"), "n_members")
     named = checkpoint(named)
     totals = named.groupBy("leader").agg(F.sum("n_members").alias("n_items"))

@@ -13,6 +13,7 @@ from curaspark.operators import cluster as C
 from curaspark.operators import relate as R
 from curaspark.operators import search as S
 from curaspark.operators.textpairs import text_pairs as join_texts
+from curaspark.plans.catalog_vectors import scan_sql
 from curaspark.plans.tables import table
 from curaspark.scale import spread
 
@@ -310,6 +311,13 @@ hits AS (SELECT i, j, round(score, 6) AS score, n_i, n_j FROM scored WHERE score
 
 ORACLES = {
     "text_pairs": f"WITH {_DOC_PAIRS} SELECT * FROM hits",
+    "text_groups": f"""WITH RECURSIVE {_DOC_PAIRS},
+      own AS (SELECT doc_id AS id, c FROM base JOIN cls USING (a, n) WHERE NOT empty),
+      each AS (
+        SELECT least(p.id, q.id) AS i, greatest(p.id, q.id) AS j, score AS s FROM hits JOIN own p ON p.c = hits.i JOIN own q ON q.c = hits.j
+        WHERE hits.i <> hits.j OR p.id < q.id),
+      {scan_sql("SELECT i, j, s FROM each")}
+      SELECT id AS doc_id, group_id, round(score, 6) AS score FROM scanned""",
     "text_duplicates": f"WITH {_DOC_PAIRS} SELECT i, j, score FROM hits WHERE score >= 0.95",
     "text_search": f"""WITH {_alphabet('documents', 'text')},
       low AS (SELECT doc_id, {_strip('lower(text)')} AS a, lower(source) AS n, text = '' AS empty FROM documents),

@@ -499,6 +499,24 @@ sets AS (
   SELECT o_orderkey, coalesce(m, []::VARCHAR[]) AS m, coalesce(l, []::VARCHAR[]) AS l FROM orders LEFT JOIN line ON l_orderkey = o_orderkey)"""
 
 
+def scan_sql(pairs: str, better: str = "false") -> str:
+    """The sequential grouping rule as SQL: pairs (i, j, s) are taken in order, the groups of all items so far are one map.
+
+    ``better`` compares the item's score ``old.s`` with the pair's ``s``. Gives ``scanned`` (id, group_id, score).
+    """
+    return f"""seq AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i, j) AS k, i::BIGINT AS i, j::BIGINT AS j, s::DOUBLE AS s FROM ({pairs})),
+scan(k, g, st) AS (
+  SELECT 0::BIGINT, 0::BIGINT, MAP([]::BIGINT[], []::STRUCT(g BIGINT, s DOUBLE)[])
+  UNION ALL
+  SELECT k, CASE WHEN fresh THEN g + 1 ELSE g END, CASE
+    WHEN fresh THEN map_concat(st, MAP([i, j], [{{'g': g, 's': s}}, {{'g': g, 's': s}}]))
+    WHEN a IS NOT NULL THEN map_concat(st, MAP([j], [{{'g': a.g, 's': s}}])) ELSE map_concat(st, MAP([i], [{{'g': b.g, 's': s}}])) END
+  FROM (SELECT *, old IS NULL OR ({better}) AS fresh FROM (
+    SELECT seq.k, i, j, s, g, st, st[i] AS a, st[j] AS b, coalesce(st[i], st[j]) AS old FROM scan JOIN seq ON seq.k = scan.k + 1))),
+scanned AS (
+  SELECT e.key AS id, e.value.g AS group_id, e.value.s AS score FROM (SELECT unnest(map_entries(st)) AS e FROM (SELECT st FROM scan ORDER BY k DESC LIMIT 1)))"""
+
+
 def _jac(a: str, b: str) -> str:
     both = f"len(list_intersect({a}, {b}))"
     return f"CASE WHEN len({a}) + len({b}) = 0 THEN 0.0 ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END"
@@ -610,6 +628,26 @@ ORACLES = {
     "reference_row": """SELECT vec_id AS path, label, CASE WHEN vec_id = 0 THEN 1 ELSE 0 END AS is_reference FROM embeddings WHERE label = 1 OR vec_id = 0""",
     "hist_signature": f"WITH {_HIST} SELECT l_suppkey, slot, round(share, 6) AS share FROM hist",
     "hist_pairs": f"WITH {_HIST} SELECT i, j, round(s, 9) AS score FROM hist_pair WHERE round(s, 9) <= 0.3",
+    "hist_groups": f"""WITH RECURSIVE {_HIST},
+      {scan_sql("SELECT i, j, round(s, 9) AS s FROM hist_pair WHERE round(s, 9) <= 0.3", "old.s - s > 0.15")}
+      SELECT id AS l_suppkey, group_id, round(score, 6) AS score FROM scanned""",
+    "supergroups": f"""{_WITH}{_GROUPS},
+      cells AS (SELECT group_id, unnest(range(1, 65)) AS p, unnest(embedding)::DOUBLE AS x FROM grp JOIN embeddings ON vec_id = id),
+      avgs AS (SELECT group_id, p, avg(x) AS m FROM cells GROUP BY group_id, p),
+      lens AS (SELECT group_id, sqrt(sum(m * m)) AS l FROM avgs GROUP BY group_id),
+      centers AS (SELECT group_id, list(m / l ORDER BY p) AS v FROM avgs JOIN lens USING (group_id) GROUP BY group_id),
+      near AS (SELECT a.group_id, list(b.group_id) AS nb FROM centers a JOIN centers b ON a.group_id <> b.group_id AND round(list_dot_product(a.v, b.v), 9) >= 0.3 GROUP BY a.group_id),
+      nodes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY group_id) AS k, group_id::BIGINT AS v, coalesce(nb, [])::BIGINT[] AS nb FROM centers LEFT JOIN near USING (group_id)),
+      fit(k, st) AS (
+        SELECT 0::BIGINT, MAP([]::BIGINT[], []::BIGINT[][])
+        UNION ALL
+        SELECT k, map_concat(st, MAP([coalesce(pick, v)], [list_append(coalesce(st[pick], []::BIGINT[]), v)])) FROM (
+          SELECT nodes.k, v, st, list_min([e.key FOR e IN map_entries(st) IF len(list_intersect(e.value, nb)) = len(e.value)]) AS pick
+          FROM fit JOIN nodes ON nodes.k = fit.k + 1)),
+      homes AS (SELECT e.key AS leader, unnest(e.value) AS group_id FROM (SELECT unnest(map_entries(st)) AS e FROM (SELECT st FROM fit ORDER BY k DESC LIMIT 1))),
+      totals AS (SELECT leader, sum(n_members)::BIGINT AS n_items FROM homes JOIN sizes USING (group_id) GROUP BY leader),
+      ranks AS (SELECT leader, n_items, row_number() OVER (ORDER BY n_items, leader) - 1 AS supergroup_id FROM totals)
+      SELECT group_id, supergroup_id, n_items FROM homes JOIN ranks USING (leader)""",
     "search_hist": f"""WITH {_HIST}, sc AS (SELECT CASE WHEN i = 3 THEN j ELSE i END AS l_suppkey, round(s, 9) AS s FROM hist_pair WHERE i = 3 OR j = 3)
       SELECT l_suppkey, round(s, 6) AS score FROM sc ORDER BY s, l_suppkey LIMIT 50""",
     "mean_signature": f"WITH {_HIST} SELECT s_nationkey, slot, round(avg(share), 6) AS share FROM hist JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_nationkey, slot",
