@@ -27,6 +27,13 @@ def stream_daily(spark, folder):
     return rows.select("event_type", F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"), "n", "total")
 
 
+def stream_sliding_rate(spark, folder):
+    """Events per type in windows of one hour that start every quarter of an hour."""
+    rows = S.drain(S.sliding_rate(_events(spark, folder), ["event_type"]), ["event_type", "window_start"], "update")
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return rows.select("event_type", start, "n", F.round("per_minute", 6).alias("per_minute"))
+
+
 def stream_bundles(spark, folder):
     """Session windows of one hour per user; open bundles are closed by the end of the data only in the batch twin."""
     out = S.bundle_fixed(_events(spark, folder), ["user_id"], gap="1 hour", manual=F.col("event_type") != "error")
@@ -91,11 +98,13 @@ def paced_queue(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_daily, stream_bundles, batch_bundles, stream_adaptive_bundles, stream_first_seen, stream_votes, stream_exempt, verdict_cache, paced_queue,
+    stream_daily, stream_sliding_rate, stream_bundles, batch_bundles, stream_adaptive_bundles, stream_first_seen, stream_votes, stream_exempt, verdict_cache, paced_queue,
 )}
 
 ORACLES = {
     "stream_daily": """SELECT event_type, strftime(date_trunc('day', ts - INTERVAL 5 HOURS) + INTERVAL 5 HOURS, '%Y-%m-%d %H:%M:%S') AS day_start, count(*) AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY 1, 2""",
+    "stream_sliding_rate": """WITH q AS (SELECT event_type, to_timestamp(floor(epoch(ts) / 900) * 900 - unnest([0, 900, 1800, 2700])) AT TIME ZONE 'UTC' AS s FROM events)
+      SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(count(*) / 60.0, 6)::DOUBLE AS per_minute FROM q GROUP BY 1, 2""",
     "batch_bundles": """WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM s)
       SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 1 HOUR) AS end_us, count(*) AS n, sum((event_type <> 'error')::INT)::BIGINT AS n_manual,

@@ -98,6 +98,14 @@ def daily_stats(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str =
     )
 
 
+def sliding_rate(stream: DataFrame, keys: list[str], ts: str = "ts", size: str = "1 hour", slide: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
+    """Counts per sliding window and key, and the rate per minute of the window; partial counts are combined before the shuffle."""
+    span = F.window(ts, size, slide).alias("w")
+    counted = stream.withWatermark(ts, delay).groupBy(*keys, span).agg(F.count(F.lit(1)).alias("n"))
+    minutes = (F.unix_timestamp("w.end") - F.unix_timestamp("w.start")) / 60
+    return counted.select(*keys, F.col("w.start").alias("window_start"), "n", (F.col("n") / minutes).alias("per_minute"))
+
+
 def frame_votes(stream: DataFrame, key: str, match: Column, ratio: float, slots: int) -> DataFrame:
     """Running vote per item (update mode): decided once positives reach the quota or cannot any more."""
     votes = stream.groupBy(key).agg(F.sum(match.cast("int")).alias("n_positive"), F.count(F.lit(1)).alias("n_seen"))
