@@ -443,3 +443,14 @@ def running_total(df: DataFrame, pos: str, value: Column, name: str) -> DataFram
         .withColumn(name, F.col("_start") + F.sum("_v").over(inside))
         .drop("_rng", "_v", "_start")
     )
+
+
+def unrelated_step(runs: DataFrame, forward: bool = True) -> DataFrame:
+    """For every row of ``adjacency_breaks`` the position a walk stops at: the next (or the last earlier) row that is not
+    related to the one before it on the way, and the number of rows skipped. Null where the walk runs into an end.
+    """
+    edge = F.min("idx") if forward else F.max("idx")
+    step = 1 if forward else -1
+    edges = runs.groupBy(F.col("run_id").alias("_r")).agg(edge.alias("_at"))
+    walked = runs.join(edges, F.col("run_id") + step == F.col("_r"), "left")
+    return walked.withColumn("next_pos", F.col("_at")).withColumn("n_skipped", F.abs(F.col("_at") - F.col("idx")) - 1).drop("_r", "_at")

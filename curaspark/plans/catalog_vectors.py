@@ -120,15 +120,21 @@ def unrelated_breaks(spark, folder):
     return C.adjacency_breaks(emb, [F.col("vec_id")], related).select("vec_id", F.col("is_break").cast("int").alias("is_break"), "run_id")
 
 
-def next_unrelated(spark, folder):
-    """For every item the next position whose predecessor it is not related to, and the number skipped."""
+def _unrelated_steps(spark, folder, forward):
     runs = C.adjacency_breaks(
         _emb(spark, folder).select("vec_id", "embedding"), [F.col("vec_id")], V.cosine("embedding", F.col("prev.embedding")) > 0.0
     ).select("vec_id", "idx", "run_id")
-    starts = runs.groupBy(F.col("run_id").alias("_r")).agg(F.min("idx").alias("next_pos"))
-    return runs.join(starts, F.col("run_id") + 1 == F.col("_r"), "left").select(
-        "vec_id", "next_pos", (F.col("next_pos") - F.col("idx") - 1).alias("n_skipped")
-    )
+    return C.unrelated_step(runs, forward).select("vec_id", "next_pos", "n_skipped")
+
+
+def next_unrelated(spark, folder):
+    """For every item the next position whose predecessor it is not related to, and the number skipped."""
+    return _unrelated_steps(spark, folder, True)
+
+
+def previous_unrelated(spark, folder):
+    """The same walk backwards."""
+    return _unrelated_steps(spark, folder, False)
 
 
 def color_pairs(spark, folder):
@@ -425,7 +431,7 @@ def search_no_models(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     similar_pairs, greedy_groups, group_order, group_members_order, group_complement, stranded_groups, groups_after_removal,
-    groups_filtered, duplicate_vectors, supergroups, prompt_vector_pairs, purge_plan, unrelated_breaks, next_unrelated, color_pairs,
+    groups_filtered, duplicate_vectors, supergroups, prompt_vector_pairs, purge_plan, unrelated_breaks, next_unrelated, previous_unrelated, color_pairs,
     search_colors, label_centroids, search_item, search_item_threshold, search_multimodal, search_with_seeds, search_preset,
     preset_matches, prototype_validation, multi_text_score, best_texts, text_scores, search_prompt_vector, capture_seed, readd_items,
     composite_search, composite_text_search, composite_groups, seed_library, composite_and, composite_or, composite_weighted, feature_fill,
@@ -553,6 +559,11 @@ ORACLES = {
       brk AS (SELECT idx FROM seq WHERE p IS NOT NULL AND NOT list_cosine_similarity(e, p) > 0),
       nxt AS (SELECT s.vec_id, s.idx, (SELECT min(b.idx) FROM brk b WHERE b.idx > s.idx) AS next_pos FROM seq s)
       SELECT vec_id, next_pos, next_pos - idx - 1 AS n_skipped FROM nxt""",
+    "previous_unrelated": """WITH seq AS (
+        SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx, embedding::DOUBLE[] AS e, lead(embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS p FROM embeddings),
+      brk AS (SELECT idx FROM seq WHERE p IS NOT NULL AND NOT list_cosine_similarity(e, p) > 0),
+      prv AS (SELECT s.vec_id, s.idx, (SELECT max(b.idx) FROM brk b WHERE b.idx < s.idx) AS next_pos FROM seq s)
+      SELECT vec_id, next_pos, idx - next_pos - 1 AS n_skipped FROM prv""",
     "color_pairs": """WITH cell AS (
         SELECT vec_id, c, embedding[c * 3 + 1]::DOUBLE * 100 AS l, embedding[c * 3 + 2]::DOUBLE * 100 AS a, embedding[c * 3 + 3]::DOUBLE * 100 AS b
         FROM embeddings, range(0, 21) t(c)),
