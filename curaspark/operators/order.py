@@ -54,8 +54,8 @@ def positions(df: DataFrame, by: str = "name", desc: bool = False, path: str = "
 
 
 def shuffle(df: DataFrame, seed: int, path: str = "path") -> DataFrame:
-    """Reproducible random order."""
-    return df.orderBy(F.xxhash64(F.col(path), F.lit(seed)), F.col(path))
+    """Reproducible random order: by a digest of path and seed, which any engine can repeat."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(path), F.lit(str(seed)))), F.col(path))
 
 
 def sample_one(df: DataFrame, seed: int, path: str = "path") -> DataFrame:

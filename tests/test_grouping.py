@@ -107,12 +107,11 @@ def merge_first(sim, n, limit):
     return {frozenset(c) for c in clusters if len(c) > 1 or True}
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_complete_link(spark, limit):
+def test_complete_link(spark):
     rng = random.Random(11)
     edges = [(a, b) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.35]
     expected = merge_first({e: 1.0 for e in edges}, 14, 0.5)
-    led = C.complete_link(spark.createDataFrame(edges, "a long, b long"), limit).collect()
+    led = C.complete_link(spark.createDataFrame(edges, "a long, b long")).collect()
     found = {}
     for r in led:
         found.setdefault(r["leader"], set()).add(r["node"])
