@@ -451,7 +451,7 @@ ORACLES = {
       taken AS (SELECT name FROM w UNION SELECT name FROM held),
       r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 + (name IN (SELECT name FROM held))::INT AS n FROM w),
       most AS (SELECT name, max(n) + (SELECT count(*) FROM held) + 1 AS k FROM r GROUP BY name),
-      free AS (SELECT name, k, regexp_replace(name, '\.png$', '') || '_' || k || '.png' AS other FROM (SELECT name, unnest(range(1, k + 1)) AS k FROM most)),
+      free AS (SELECT name, k, regexp_replace(name, '[.]png$', '') || '_' || k || '.png' AS other FROM (SELECT name, unnest(range(1, k + 1)) AS k FROM most)),
       cand AS (SELECT name, other, row_number() OVER (PARTITION BY name ORDER BY k) AS n FROM free WHERE other NOT IN (SELECT name FROM taken))
       SELECT p_partkey, r.name, CASE WHEN r.n = 0 THEN r.name ELSE other END AS final_name FROM r LEFT JOIN cand ON cand.name = r.name AND cand.n = r.n""",
     "first_rows": f"{_M} SELECT id, path FROM media ORDER BY path LIMIT 25",
