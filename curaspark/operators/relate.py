@@ -5,6 +5,8 @@ Media tables have ``path`` and, where pointers matter, ``related_path``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,14 @@ def _prefixes(df: DataFrame, text: Column, lengths: list[int], name: str, proper
     return df.withColumn("_k", F.explode(sizes)).withColumn(name, F.left(text, F.col("_k"))).drop("_k")
 
 
-def stem_matches(queries: DataFrame, files: DataFrame, base: str = "base_stem", path: str = "path") -> DataFrame:
-    """Files whose stem starts with a base stem at a boundary: (base_stem, path).
+def stem_matches(queries: DataFrame, files: DataFrame, base: str = "base_stem", path: str = "path", more: Sequence[str] = ()) -> DataFrame:
+    """Files whose stem starts with a base stem at a boundary: (base_stem, path, more...).
 
     A prefix join: every file stem is cut to the lengths the base stems have and joined by equality.
     """
     keys = queries.select(F.col(base).alias("base_stem")).filter(F.col("base_stem") != "").distinct()
-    cut = _prefixes(files.select(path).withColumn("_stem", P.stem(path)), F.col("_stem"), _lengths(keys, F.col("base_stem")), "base_stem")
-    return cut.join(keys, "base_stem").filter(P.boundary_ok("_stem", "base_stem")).select("base_stem", path)
+    cut = _prefixes(files.select(path, *more).withColumn("_stem", P.stem(path)), F.col("_stem"), _lengths(keys, F.col("base_stem")), "base_stem")
+    return cut.join(keys, "base_stem").filter(P.boundary_ok("_stem", "base_stem")).select("base_stem", path, *more)
 
 
 def _strict_prefix(df: DataFrame) -> DataFrame:
@@ -263,8 +265,19 @@ def should_generate(df: DataFrame, entries: DataFrame, suffix: str, threshold: i
     """Add ``generate``: whether a derived file with ``suffix`` is still wanted per row.
 
     False when the row's own source is among ``entries`` (path, related_path); else true while
-    fewer than ``threshold`` derivatives with a known suffix exist. A derivative points at the row
-    by path or long basename, or continues its stem after a non-alphanumeric with the same
+    fewer than ``threshold`` derivatives with a known suffix exist (see downstream_counts).
+    """
+    n = F.col("n_downstream")[0]
+    return downstream_counts(df, entries, [suffix]).select(
+        "path", n.alias("n_downstream"), (~F.col("own_source") & (n < threshold)).alias("generate")
+    )
+
+
+def downstream_counts(df: DataFrame, entries: DataFrame, suffixes: Sequence[str]) -> DataFrame:
+    """(path, own_source, n_downstream): derivatives per row, one number for each suffix, in one pass.
+
+    ``own_source`` tells whether the row's own source is among ``entries`` (path, related_path). A derivative points at
+    the row by path or long basename, or continues its stem after a non-alphanumeric with the same
     extension. Derivatives are counted per key before the join, so no pair of files is ever built.
     """
     rows = df.select("path", "related_path").withColumn("k_name", P.basename("path")).withColumn("k_stem", F.lower(P.stem("path"))).withColumn(
@@ -276,39 +289,37 @@ def should_generate(df: DataFrame, entries: DataFrame, suffix: str, threshold: i
     by_name = ent.select(P.basename("path").alias("_rname")).filter(F.length("_rname") > MIN_NAME).distinct().withColumn("_s2", F.lit(True))
     rows = rows.withColumn("_rname", P.basename("related_path")).join(by_path, "related_path", "left").join(by_name, "_rname", "left")
 
-    cand = ent.filter(P.known_suffix(P.stem("path"), [suffix])).select(
+    kinds = F.array(*[F.coalesce(P.known_suffix(P.stem("path"), [x]), F.lit(False)) for x in suffixes])
+    cand = ent.select(
         F.col("related_path").alias("rel"), P.basename("related_path").alias("rname"),
-        P.stem("path").alias("stem"), F.lower(P.ext("path")).alias("k_ext"),
-    )
+        P.stem("path").alias("stem"), F.lower(P.ext("path")).alias("k_ext"), kinds.alias("_kinds"),
+    ).filter(F.array_contains("_kinds", True))
+    counts = F.array(*[F.count_if(F.col("_kinds")[i]) for i in range(len(suffixes))])
     pointed = cand.filter("rel is not null")
-    n_path = pointed.groupBy(F.col("rel").alias("path")).agg(F.count(F.lit(1)).alias("_n1"))
-    n_name = pointed.filter(F.length("rname") > MIN_NAME).groupBy(F.col("rname").alias("k_name")).agg(F.count(F.lit(1)).alias("_n2"))
+    n_path = pointed.groupBy(F.col("rel").alias("path")).agg(counts.alias("_n1"))
+    n_name = pointed.filter(F.length("rname") > MIN_NAME).groupBy(F.col("rname").alias("k_name")).agg(counts.alias("_n2"))
     cut = _prefixes(cand, F.col("stem"), _lengths(rows, F.col("k_stem")), "_pre", proper=True)
     nxt = F.substring(F.col("stem"), F.length("_pre") + 1, F.lit(1))
     cut = cut.filter(~nxt.rlike(r"^[\p{L}\p{N}]")).withColumn("k_stem", F.lower("_pre"))
-    n_stem = cut.groupBy("k_stem", "k_ext").agg(F.count(F.lit(1)).alias("_n3"))
+    n_stem = cut.groupBy("k_stem", "k_ext").agg(counts.alias("_n3"))
     # stem derivatives that were already counted through their pointer
-    again_path = cut.filter("rel is not null").groupBy("k_stem", "k_ext", F.col("rel").alias("path")).agg(F.count(F.lit(1)).alias("_n4"))
-    again_name = cut.filter(F.length("rname") > MIN_NAME).groupBy("k_stem", "k_ext", F.col("rname").alias("k_name")).agg(
-        F.count(F.lit(1)).alias("_n5")
-    )
+    again_path = cut.filter("rel is not null").groupBy("k_stem", "k_ext", F.col("rel").alias("path")).agg(counts.alias("_n4"))
+    again_name = cut.filter(F.length("rname") > MIN_NAME).groupBy("k_stem", "k_ext", F.col("rname").alias("k_name")).agg(counts.alias("_n5"))
     counted = (
         rows.join(n_path, "path", "left").join(n_name, "k_name", "left").join(n_stem, ["k_stem", "k_ext"], "left")
         .join(again_path, ["k_stem", "k_ext", "path"], "left").join(again_name, ["k_stem", "k_ext", "k_name"], "left")
     )
 
-    def n(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit(0))
-
     long_name = F.length("k_name") > MIN_NAME
-    # with a long basename the name count already includes the exact pointers
-    pointers = F.when(long_name, n("_n2")).otherwise(n("_n1"))
-    repeats = F.when(long_name, n("_n5")).otherwise(n("_n4"))
-    total = pointers + n("_n3") - repeats
+
+    def total(i: int) -> Column:
+        n1, n2, n3, n4, n5 = (F.coalesce(F.get(f"_n{k}", F.lit(i)), F.lit(0)) for k in range(1, 6))
+        # with a long basename the name count already includes the exact pointers
+        return F.when(long_name, n2 - n5).otherwise(n1 - n4) + n3
+
     own_source = F.coalesce("_s1", F.lit(False)) | F.coalesce("_s2", F.lit(False))
-    return counted.select(
-        "path", total.cast("bigint").alias("n_downstream"), (~own_source & (total < threshold)).alias("generate")
-    )
+    totals = F.array(*[total(i).cast("bigint") for i in range(len(suffixes))])
+    return counted.select("path", own_source.alias("own_source"), totals.alias("n_downstream"))
 
 
 # ------------------------------------------------------------------ equality

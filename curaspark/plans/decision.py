@@ -525,8 +525,8 @@ def _category_walk(name: str, categories: dict[str, str], actions: dict[str, str
         return Condition("column", {"column": c})
 
     nodes = [
-        Node("Unknown-suffix guard", Condition("composite", {"operator": "NOT"}, [col("unknown_suffix")]), Outcome(), Outcome("REJECT")),
-        Node("Stem uniqueness check", col("stem_overflow"), Outcome("REJECT"), Outcome()),
+        Node("No foreign variants", Condition("composite", {"operator": "NOT"}, [col("unknown_suffix")]), Outcome(), Outcome("REJECT")),
+        Node("Not too many filed", col("stem_overflow"), Outcome("REJECT"), Outcome()),
     ]
     for category, suffix in categories.items():
         both = Condition("composite", {"operator": "AND"}, [col(f"gate{suffix}"), col(f"free{suffix}")])
@@ -549,18 +549,34 @@ def three_bucket(coherent: str = "_coherent", semi: str = "_semiinco", incoheren
 
 
 def prepare_category_fill(df: DataFrame, working: DataFrame, targets: dict[str, DataFrame], walk: DecisionWalk, limit: int | None = None) -> DataFrame:
-    """Join the columns a category walk reads: guard, overflow, gates and free targets per suffix."""
-    suffixes = list(walk.category_map.values())
-    everything = None
-    for t in targets.values():
-        part = t.select("path")
-        everything = part if everything is None else everything.unionByName(part)
+    """Join the columns a category walk reads: guard, overflow, gates and free targets per suffix.
+
+    The files of all targets are matched with the base stems once and counted per target; the derivatives of all
+    suffixes are counted once. The number of joins does not depend on the number of categories.
+    """
+    from curaspark.operators.relate import downstream_counts, stem_matches
     from curaspark.session import checkpoint
 
-    out = add_unknown_suffix(df, working, "unknown_suffix", suffixes)
-    out = checkpoint(add_stem_match(out, everything, "stem_overflow", limit=limit or len(suffixes) + 1))
-    for suffix in suffixes:
-        # a table per category keeps the plans small, however many categories there are
-        out = checkpoint(add_related_image(out, [working], f"gate{suffix}", suffix))
-        out = checkpoint(add_stem_match(out, targets[suffix], f"free{suffix}", require=False))
-    return out
+    suffixes = list(walk.category_map.values())
+    missing = [s for s in suffixes if s not in targets]
+    if missing:
+        raise KeyError(f"no target for {missing}")
+    filed = None
+    for suffix, t in targets.items():
+        part = t.select("path", F.lit(suffix).alias("_target"))
+        filed = part if filed is None else filed.unionByName(part)
+    # one table, so that neither the stems nor the guard are computed again in the joins below
+    rows = checkpoint(add_unknown_suffix(df, working, "unknown_suffix", suffixes).withColumn("_b", P.base_stem("path")))
+    found = stem_matches(rows.select(F.col("_b").alias("base_stem")), filed, more=["_target"])
+    per_target = [F.count_if(F.col("_target") == s) for s in suffixes]
+    counts = found.groupBy("base_stem").agg(F.count(F.lit(1)).alias("_n"), F.array(*per_target).alias("_per_target"))
+    gates = downstream_counts(df, working, suffixes)
+    out = rows.join(counts, F.col("_b") == F.col("base_stem"), "left").join(gates, "path", "left")
+    named = F.length("_b") > 0
+    columns = {"stem_overflow": named & (F.coalesce("_n", F.lit(0)) > (limit or len(suffixes) + 1))}
+    for i, suffix in enumerate(suffixes):
+        open_gate = ~F.col("own_source") & (F.get("n_downstream", F.lit(i)) < 1)
+        columns[f"gate{suffix}"] = F.coalesce(open_gate, F.lit(False))
+        columns[f"free{suffix}"] = named & (F.coalesce(F.get("_per_target", F.lit(i)), F.lit(0)) == 0)
+    out = out.withColumns(columns).drop("_b", "base_stem", "_n", "_per_target", "own_source", "n_downstream")
+    return checkpoint(out)  # a walk reads its columns many times
