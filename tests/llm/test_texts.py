@@ -243,13 +243,87 @@ def test_language_model(spark):
 
 
 def test_model_is_normalised():
-    model = bilinear_lm.Model.fresh(np.full(bilinear_lm.OUTPUTS, 1 / bilinear_lm.OUTPUTS))
+    shape = bilinear_lm.Shape.of(100_000, 5000)
+    model = bilinear_lm.Model.fresh(shape, np.full(shape.outputs, 1 / shape.outputs))
     c1, c2, q, bias = model.tables
-    for a, b in [(0, 0), (7, 40), (bilinear_lm.END, bilinear_lm.NEAR_WORDS)]:
+    for a, b in [(0, 0), (7, 40), (shape.end, shape.near)]:
         raw = q @ (c1[a] + c2[b]) + bias
         assert abs(np.exp(raw - bilinear_lm.log_sums(model, np.array([a]))[0, b]).sum() - 1) < 1e-4
 
 
+def test_model_grows_with_the_tokens():
+    small, large = bilinear_lm.Shape.of(10**6, 10**6), bilinear_lm.Shape.of(10**9, 10**9)
+    assert large.words == 10 * small.words and large.near > small.near and large.frequent > small.frequent
+    assert bilinear_lm.Shape.of(0, 0).outputs == 1 + bilinear_lm.CLASSES
+
+
+def test_language_model_scores_by_a_plain_loop(spark, monkeypatch):
+    """Every token's probability: softmax over all outputs, then the word's smoothed share of its class."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "source").withColumn("held", F.lit("clash"))
+    kept = {}
+
+    def spy(codes, shape, listed, unigram, training):
+        kept["shape"], kept["state"] = shape, real(codes, shape, listed, unigram, training)
+        return kept["state"]
+
+    real = bilinear_lm.train
+    monkeypatch.setattr(bilinear_lm, "train", spy)
+    monkeypatch.setattr(bilinear_lm, "Shape", type("Small", (bilinear_lm.Shape,), {"of": classmethod(lambda cls, t, v: cls(300, 9, 700))}))
+    got = {r.doc_id: r for r in bilinear_lm.scores(docs).collect()}
+    shape = kept["shape"]
+    rows = docs.collect()
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in rows}
+    counts = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in t)
+    number = {w: n for n, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: shape.words])}
+    size = sum(int(np.prod(t)) for t in shape.tables)
+    c1, c2, q, bias = bilinear_lm.Model.unpacked(kept["state"][:size], shape).tables
+    members = {}
+    for w, n in counts.items():
+        if w not in number:
+            members.setdefault(bilinear_lm.word_class(w), []).append(n)
+
+    def output(word):
+        if word is None:
+            return shape.end
+        return number.get(word, shape.words + 1 + bilinear_lm.word_class(word))
+
+    def second(word):
+        if word is None:
+            return shape.near
+        return number[word] if number.get(word, shape.near) < shape.near else shape.near + 1 + bilinear_lm.word_class(word) % bilinear_lm.NEAR_CLASSES
+
+    for i in sorted(texts)[:25]:
+        words, total = [None, None, *texts[i], None], 0.0
+        for n in range(2, len(words)):
+            raw = (q @ (c1[output(words[n - 1])] + c2[second(words[n - 2])]) + bias).astype(float)
+            out = output(words[n])
+            total += (raw[out] - raw.max() - math.log(np.exp(raw - raw.max()).sum())) / math.log(10)
+            if out > shape.end:
+                ns = members.get(out - shape.end - 1, [])
+                total += math.log10((counts[words[n]] + 0.1) / (sum(ns) + 0.1 * (len(ns) + 1)))
+        assert abs(got[i].score - total) < 1e-3 * abs(total)
+
+
+def test_language_model_of_any_layout(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    totals = []
+    for parts in (1, 40):
+        rows = bilinear_lm.scores(docs.repartition(parts)).filter("held_out").collect()
+        totals.append(sum(r.score for r in rows))
+        assert totals[-1] > sum(r.base_score for r in rows)
+    assert abs(totals[0] - totals[1]) < 0.02 * abs(totals[0])
+
+
+def test_language_model_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert bilinear_lm.scores(empty).collect() == []
+    rows = [(1, None), (2, ""), (None, None), (3, "a b " * 20_000), (3, "a b " * 20_000), (10, " \t ")]
+    got = bilinear_lm.scores(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("word", F.lit(1)).withColumn("n", F.lit(2))).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 1, 1, 40_001, 40_001] and all(r.score < 0 for r in got)
+    nothing = bilinear_lm.scores(spark.createDataFrame([(1, None), (None, "")], "doc_id bigint, text string")).collect()
+    assert all(r.n_tokens == 1 and r.n_known == 1 and r.train_tokens == 2 for r in nothing)
+
+
 # ------------------------------------------------------------------ pipeline
 
 
