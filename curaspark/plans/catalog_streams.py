@@ -42,9 +42,8 @@ def stream_bundles(spark, folder):
 
 
 def batch_bundles(spark, folder):
-    """The same bundles over the finished table."""
-    ev = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.bundle_fixed(ev, ["user_id"], gap="1 hour", manual=F.col("event_type") != "error")
+    """The same bundles over the finished table, from slots and ranges."""
+    out = S.bundle_table(table(spark, folder, "events"), ["user_id"], gap="1 hour", manual=F.col("event_type") != "error")
     return out.select("user_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "n", "n_manual", "n_auto")
 
 
@@ -109,6 +108,11 @@ ORACLES = {
       g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM s)
       SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 1 HOUR) AS end_us, count(*) AS n, sum((event_type <> 'error')::INT)::BIGINT AS n_manual,
         sum((event_type = 'error')::INT)::BIGINT AS n_auto FROM g GROUP BY user_id, b""",
+    # a bundle is closed when the watermark, ten minutes behind the last event, has passed its end
+    "stream_bundles": """WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM s)
+      SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_ts, count(*) AS n, sum((event_type <> 'error')::INT)::BIGINT AS n_manual, sum((event_type = 'error')::INT)::BIGINT AS n_auto
+      FROM g GROUP BY user_id, b HAVING epoch_us(max(ts)) + 3600000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM events) - 600000000""",
     "stream_first_seen": "SELECT DISTINCT user_id || '/' || json_extract_string(props, '$.k') AS path, 1::BIGINT AS n FROM events",
     "stream_votes": """WITH v AS (SELECT conv_id, sum((length(text) > 300)::INT)::BIGINT AS n_positive, count(*) AS n_seen FROM conversations GROUP BY conv_id)
       SELECT *, CASE WHEN n_positive >= 2 THEN 'match' WHEN n_positive + 4 - n_seen < 2 THEN 'no match' ELSE 'open' END AS state FROM v""",

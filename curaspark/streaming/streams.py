@@ -6,12 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from curaspark.session import ensure_checkpoint_dir
+from curaspark.session import checkpoint, ensure_checkpoint_dir
 
 
 def stream_table(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", max_files: int = 250) -> DataFrame:
@@ -38,6 +38,49 @@ def bundle_fixed(stream: DataFrame, keys: list[str], ts: str = "ts", gap: str =
     )
 
 
+#: Slots of one gap each that a range of a key's time line holds, at most.
+RANGE_SLOTS = 100_000
+
+
+def bundle_table(events: DataFrame, keys: list[str], ts: str = "ts", gap: str = "3 seconds", manual: Column | None = None,
+                 range_slots: int = RANGE_SLOTS) -> DataFrame:
+    """The bundles of ``bundle_fixed`` over a finished table, with no task that gathers a key.
+
+    Events in one slot as wide as the gap always belong together, so they are first added up per (key, slot), on the map
+    side too. The time line of a key is cut into ranges of ``range_slots`` slots and bundled range by range; only the
+    first and last bundle of a range may go on in a neighbour, and these two rows are all that a key's own window reads.
+    Events without a time are in no bundle; null keys form keys of their own. Input columns other than the keys and the
+    time are read only by ``manual``, so their names may clash with anything.
+    """
+    wide = pd.Timedelta(gap) // pd.Timedelta(microseconds=1)
+    by_hand = manual if manual is not None else F.lit(True)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = events.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], at.alias("_at"), by_hand.cast("int").alias("_m"))
+    slots = rows.filter("_at is not null").groupBy(*names, F.floor(F.col("_at") / wide).alias("_slot")).agg(
+        F.min("_at").alias("_lo"), F.max("_at").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.sum("_m").alias("_by"), F.sum(1 - F.col("_m")).alias("_auto")
+    ).withColumn("_range", F.floor(F.col("_slot") / range_slots))
+
+    def joined(parts: DataFrame, within: list[str]) -> DataFrame:
+        """Rows in time order become one where the next begins less than a gap after the end of the one before."""
+        order = Window.partitionBy(*within).orderBy("_lo")
+        begins = F.coalesce((F.col("_lo") - F.lag("_hi").over(order) >= wide).cast("int"), F.lit(1))
+        marked = parts.withColumn("_begins", begins).withColumn("_bundle", F.sum("_begins").over(order))
+        return marked.groupBy(*within, "_bundle").agg(
+            F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[F.sum(c).alias(c) for c in ("_n", "_by", "_auto")]
+        )
+
+    pieces = joined(slots, [*names, "_range"])
+    pieces = checkpoint(pieces.withColumn("_last", F.max("_bundle").over(Window.partitionBy(*names, "_range"))))
+    at_border = (F.col("_bundle") == 1) | (F.col("_bundle") == F.col("_last"))
+    columns = [*names, "_lo", "_hi", "_n", "_by", "_auto"]
+    done = pieces.filter(~at_border).select(columns).unionByName(joined(pieces.filter(at_border).select(columns), names).select(columns))
+    return done.select(
+        *[F.col(n).alias(k) for k, n in zip(keys, names)], F.timestamp_micros("_lo").alias("start_ts"), F.timestamp_micros(F.col("_hi") + wide).alias("end_ts"),
+        F.col("_n").alias("n"), F.col("_by").alias("n_manual"), F.col("_auto").alias("n_auto"),
+    )
+
+
 # Fixed values of the adaptive gap, in seconds.
 BASE_GAP, MAX_GAP, WIDEN, NARROW = 3.0, 10.0, 1.5, 0.8
 
