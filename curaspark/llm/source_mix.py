@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curaspark.llm.common import per_batch
-from curaspark.scale import broadcast_if_small, row_index
+from curaspark.scale import broadcast_if_small, group_index, range_width, row_index
 from curaspark.session import checkpoint
 
 #: Weights of the sources in code-point order, repeating, and how often a source's words may be taken.
@@ -72,19 +72,26 @@ def targets(rows: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> Da
 def drawn_blocks(rows: DataFrame) -> DataFrame:
     """(idx, block, seq, part): the draws of every source in order; part is null for a whole block, else the words wanted of it.
 
-    ``rows``: (idx, block, size, source_size, target). Windows run over blocks, one row for BLOCK_WORDS words.
+    ``rows``: (idx, block, size, source_size, target). A source may have any number of blocks: they are numbered by a
+    range sort, and words are added up range by range, so only one row for each range of a source meets in one task.
     """
     blocks = rows.groupBy("idx", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("all"), F.first("target").alias("target"))
     full = F.when(F.col("all") > 0, F.floor(F.col("target") / F.col("all"))).otherwise(0)
     blocks = blocks.withColumn("full", full).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("full"))))
-    permuted = F.xxhash64("idx", "pass", "block", F.lit(SEED))
-    order = Window.partitionBy("idx", "pass").orderBy(permuted, "block")
-    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.col("target") - F.col("full") * F.col("all")
-    blocks = blocks.withColumn("left", F.when(F.col("pass") < F.col("full"), F.col("words")).otherwise(rest - before))
+    blocks = blocks.withColumn("permuted", F.xxhash64("idx", "pass", "block", F.lit(SEED)))
+    numbered = checkpoint(group_index(blocks, ["idx"], [F.col("pass"), F.col("permuted"), F.col("block")], "seq"))
+    width = range_width(numbered.count())
+    numbered = numbered.withColumn("range", F.floor(F.col("seq") / width))
+    ranges = numbered.groupBy("idx", "range").agg(F.sum("words").alias("sum"))
+    earlier = Window.partitionBy("idx").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select("idx", "range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("carried"))
+    inside = Window.partitionBy("idx", "range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("carried") + F.coalesce(F.sum("words").over(inside), F.lit(0))
+    # what is wanted of a block in the last pass: the target without all blocks before it, those of the full passes too
+    blocks = numbered.join(carried, ["idx", "range"]).withColumn("before", before)
+    blocks = blocks.withColumn("left", F.when(F.col("pass") < F.col("full"), F.col("words")).otherwise(F.col("target") - F.col("before")))
     drawn = blocks.filter("left > 0 or pass < full").withColumn("part", F.when(F.col("left") < F.col("words"), F.col("left")))
-    place = F.row_number().over(Window.partitionBy("idx").orderBy("pass", permuted, "block")) - 1
-    return drawn.select("idx", "block", "pass", place.alias("seq"), "part")
+    return drawn.select("idx", "block", "pass", "seq", "part")
 
 
 def split_path(quotas: np.ndarray, shard: int, shards: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
