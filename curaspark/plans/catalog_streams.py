@@ -13,8 +13,7 @@ from curaspark.streaming import streams as S
 
 
 def _stream(spark, folder, name: str) -> DataFrame:
-    schema = table(spark, folder, name).schema
-    return S.stream_table(spark, folder, schema, f"{name}.parquet")
+    return S.stream_table(spark, f"{folder}/{name}.parquet", table(spark, folder, name).schema)
 
 
 def _events(spark, folder) -> DataFrame:

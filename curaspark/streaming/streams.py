@@ -14,12 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from curaspark.session import checkpoint, ensure_checkpoint_dir
 
 
-def stream_table(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", max_files: int = 250) -> DataFrame:
-    """Files of a folder as a stream, at most ``max_files`` per batch."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern)
-        .format("parquet").load(folder)
-    )
+def stream_table(spark: SparkSession, path: str, schema, max_files: int = 250) -> DataFrame:
+    """A table as a stream, at most ``max_files`` files per batch; ``path`` is one file or a folder of files."""
+    # a plain path must be a folder, a pattern may name either
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format("parquet").load(f"{path[:-1]}[{path[-1]}]")
 
 
 def stream_media(stream: DataFrame, ts: str = "ts", delay: str = "10 minutes", key: str = "path") -> DataFrame:
