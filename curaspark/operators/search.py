@@ -16,7 +16,7 @@ from curaspark.functions import vec as V
 from curaspark.operators import products
 from curaspark.operators.order import top_k
 from curaspark.operators.pairs import set_similarity
-from curaspark.scale import hold, spread
+from curaspark.scale import broadcast_if_small, hold, spread
 from curaspark.session import checkpoint
 
 SEARCH_RESULTS = 50
@@ -77,7 +77,7 @@ def mean_of(queries: DataFrame, vec: str) -> list[float] | None:
 
 def _tables(df: DataFrame, ident: str, vec: str, queries: DataFrame, key: str, query_vec: str, unit: bool = False) -> tuple[DataFrame, DataFrame]:
     def side(d: DataFrame, name: str, of: str, v: str) -> DataFrame:
-        return d.select(F.col(of).alias(name), (V.l2_normalize(v) if unit else F.col(v).cast("array<double>")).alias("vec"))
+        return d.select(F.col(of).alias(name), (V.l2_normalize(v) if unit else F.col(v)).alias("vec"))
 
     return side(df, "id", ident, vec), side(queries, "key", key, query_vec)
 
@@ -133,10 +133,11 @@ def multi_text_score(vec: str, positives: Sequence, negatives: Sequence = ()) ->
     return F.when((pos > 0) & (neg > 0), pos / neg).when(pos > 0, pos).when(neg != 0, F.lit(1.0) / neg)
 
 
-def text_scores(df: DataFrame, ident: str, vec: str, key, texts: DataFrame, name: str, text_vec: str) -> DataFrame:
-    """Cosine of one item with named text vectors: (text, score)."""
-    q = item_vector(df, ident, vec, key)
-    return texts.select(F.col(name).alias("text"), V.cosine(text_vec, _literal(q)).alias("score"))
+def text_scores(df: DataFrame, ident: str, vec: str, texts: DataFrame, name: str, text_vec: str) -> DataFrame:
+    """(id, text, score): cosine of every item with every named text vector."""
+    items = df.select(F.col(ident).alias("id"), F.col(vec).alias("_v"))
+    named = broadcast_if_small(texts.select(F.col(name).alias("text"), F.col(text_vec).alias("_t")), max_rows=10_000)
+    return items.crossJoin(named).select("id", "text", V.cosine("_v", "_t").alias("score"))
 
 
 def prototype_score(vec: str, positive: Sequence[float], negative: Sequence[float] | None = None, lam: float = 0.5) -> Column:
