@@ -46,3 +46,16 @@ def test_regroup_without_a_table_of_pairs(spark, monkeypatch, seed, n, copies, c
     want = collected(C.regroup_groups(J.hist_pairs(df, "id", "h", 0.4), cutoff, lower=True))
     monkeypatch.setattr(J.P, "seek", partial(P.seek, few=0, block_rows=9))
     assert collected(C.regroup_groups(J.hist_near(df, "id", "h", 0.4, block_rows=16), cutoff, lower=True)) == want
+
+
+def test_vectors_are_stored_once_however_many_blocks_they_meet(spark):
+    df = spark.createDataFrame(rows_of("dot", 7, 70, 0), "id long, v array<double>").repartition(2)
+    found = J.similar_pairs(df, "id", "v", 0.3, block_rows=8)
+    x = {r["id"]: np.array(r["v"]) for r in df.collect()}
+    want = {(i, j) for i in x for j in x if i < j and np.round(x[i] @ x[j], 9) > 0.3}
+    assert {(r["c"], r["d"]) for r in found.pairs.collect()} == want
+    asked = P.matches(df.selectExpr("id", "v vec"), df.selectExpr("id key", "v vec"), 0.3, few=0, block_rows=20)
+    assert {(r["key"], r["id"]) for r in asked.collect() if r["key"] < r["id"]} == want
+    # blocks are read by the tasks that need them; no row is shuffled for every block
+    for made in (found.pairs, asked):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
