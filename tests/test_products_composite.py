@@ -130,6 +130,19 @@ def test_readded_items_give_the_pairs_of_a_full_run(spark, gone):
     assert sorted(map(tuple, C.greedy_groups(again).collect())) == sorted(map(tuple, C.greedy_groups(whole).collect()))
 
 
+@pytest.mark.parametrize("gone", [(7, 20, 39), tuple(range(0, 40, 3))])
+def test_readded_items_are_grouped_without_a_table_of_pairs(spark, gone):
+    rng = np.random.default_rng(13)
+    rows = np.round(rng.normal(size=(40, 4)), 2)
+    rows[7], rows[20], rows[2] = rows[3], rows[1], rows[39]
+    full = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, v array<double>")
+    old = J.similar_near(full.filter(~F.col("id").isin(list(gone))), "id", "v", 0.8)
+    for now in (full, full.filter("id % 5 != 0")):  # items may also have left
+        again, whole = J.readd_near(old, now, "id", "v", 0.8), J.similar_near(now, "id", "v", 0.8)
+        assert sorted(map(tuple, again.near.collect())) == sorted(map(tuple, whole.near.collect()))
+        assert sorted(map(tuple, again.copies.pairs.collect())) == sorted(map(tuple, whole.copies.pairs.collect()))
+
+
 def test_capture(spark):
     library = spark.createDataFrame([(1, "a", ["t"], [1.0, 0.0], "m", 3, False)], "id long, name string, tags array<string>, vec array<double>, model string, use_count long, deprecated boolean")
     frames = spark.createDataFrame([(5, [3.0, 0.0]), (5, [0.0, 4.0]), (6, None)], "item long, v array<double>")
